@@ -49,7 +49,7 @@ from ragloom.llm.words import SPACES, grams, mix, pieces
 
 N, PERCENT = 5, 80
 #: Shingles a task holds before it deals them out, and a block's shingles at most.
-TASK_SHINGLES, BLOCK_SHINGLES = 4_000_000, 2_000_000
+TASK_SHINGLES, BLOCK_SHINGLES = 1_000_000, 1_500_000
 BUCKETS_PER_PARTITION = 4
 BROADCAST_CLASSES, BROADCAST_IDS = 200_000, 500_000
 #: DivideSkip's factor: of T lists at most T / (MU * log2(longest) + 1) are set aside.
