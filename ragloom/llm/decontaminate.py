@@ -7,12 +7,16 @@
 2. Document frequencies over all passages of all documents give the TF-IDF
    weights.
 3. Randomised SVD: every task adds up its part of (A'A) Omega, A being the
-   TF-IDF passages of all documents and the items (each item counts as
-   ``ITEM_WEIGHT`` passages, so that the latent space covers what is searched
-   for) and Omega a random matrix; the vocabulary x ``RANK`` sums are added up
-   and orthonormalised. The passages' size does not matter, only the vocabulary's.
+   TF-IDF passages of all documents and Omega a random matrix; the vocabulary x
+   ``RANK`` sums, and as many as ``ITEM_RANK`` random combinations of the items'
+   own rows, are orthonormalised: a basis of the leading right singular space
+   that also covers what is searched for. Cosines do not change when a basis is
+   rotated, so the small SVD that would rotate it is left out. What is sent
+   depends on the vocabulary, not on the passages.
 4. All windows of ``WINDOW`` words, ``STRIDE`` apart, of every document are
-   projected; those whose cosine with an item reaches ``COSINE`` are candidates.
+   searched: those whose cosine with an item in that space reaches ``COSINE``
+   are candidates. Windows whose words outside the vocabulary weigh too much
+   for that are known before they are projected.
 5. Around a candidate the longest common subsequence with the item is taken
    (bit-parallel). A share of ``LCS`` of the item's words is a leak; from
    ``PARAPHRASE`` on it is one if the answer, the item's last sentence (the last
@@ -29,6 +33,7 @@ rows that repeat give their rows again; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,9 +44,9 @@ from pyspark.sql import functions as F
 from ragloom.llm.scratch import materialize
 from ragloom.llm.words import NOT_ALNUM, counts_of, mix, pieces
 
-WINDOW, STRIDE, RANK = 32, 16, 192
+WINDOW, STRIDE, RANK, ITEM_RANK = 32, 16, 48, 144
 COSINE, LCS, PARAPHRASE, ANSWER = 0.3, 0.75, 0.55, 0.8
-ITEM_WEIGHT, MIN_ITEM, ITEM_BLOCK = 1000.0, 8, 2000
+FREQUENT, MIN_ITEM, ITEM_BLOCK = 1 / 64, 8, 500
 #: Words taken through the dense steps at once.
 PIECE_WORDS = 1 << 16
 OUT = "doc_id long, item_id long, cosine double, lcs double, answer double, kind string"
@@ -101,7 +106,7 @@ def _frequencies(batches: Iterable[pd.DataFrame], m: int) -> Iterator[pd.DataFra
 def _gram(ids: np.ndarray, passage: np.ndarray, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
     """A'A omega for the passages of these words (only words of the vocabulary)."""
     m = len(omega)
-    inside = ids < m
+    inside = (ids < m) & (idf[ids] > 0)
     ids, passage = ids[inside], passage[inside]
     if not len(ids):
         return np.zeros_like(omega)
@@ -179,7 +184,11 @@ def _search(batches: Iterable[pd.DataFrame], names: list[int], item_ids: list[np
     norm = np.linalg.norm(q, axis=1)
     q = (q / np.maximum(norm, 1e-9)[:, None]).T.astype(np.float32)
     items = [i.tolist() for i in item_ids]
-    square = idf32**2
+    counts = [Counter(i) for i in items]
+    belongs = np.zeros((len(items), m + 1), bool)
+    for t, i in enumerate(item_ids):
+        belongs[t, i] = True
+    square = idf**2
     for batch in batches:
         best: dict[tuple, tuple] = {}
         done: set[tuple] = set()
@@ -189,18 +198,18 @@ def _search(batches: Iterable[pd.DataFrame], names: list[int], item_ids: list[np
             owner = np.repeat(np.arange(len(sizes)), windows)
             lo = begin[owner] + counts_of(windows) * STRIDE
             hi = np.minimum(lo + WINDOW, begin[owner + 1])
-            for a in range(0, len(owner), 2048):
-                w_lo, w_hi, own = lo[a : a + 2048], hi[a : a + 2048], owner[a : a + 2048]
-                part = ids[w_lo[0] : w_hi.max()]
-                inside = np.flatnonzero(part < m)
-                if not len(inside):
-                    continue
-                sums = np.zeros((len(inside) + 1, k), np.float32)
-                np.cumsum(weighted[part[inside]], axis=0, out=sums[1:])
-                norms = np.concatenate([[0.0], np.cumsum(square[part].astype(np.float64))])
-                s, e = np.searchsorted(inside, w_lo - w_lo[0]), np.searchsorted(inside, w_hi - w_lo[0])
-                length = np.sqrt(np.maximum(norms[w_hi - w_lo[0]] - norms[w_lo - w_lo[0]], 1e-9)).astype(np.float32)
-                near = (sums[e] - sums[s]) @ q / length[:, None]
+            energy = np.concatenate([[0.0], np.cumsum(square[ids])])
+            within = np.concatenate([[0.0], np.cumsum(np.where(ids < m, square[ids], 0.0))])
+            # Cauchy-Schwarz: a window's cosine is at most the root of the vocabulary's share in its squared length.
+            may = np.flatnonzero(within[hi] - within[lo] >= np.maximum(cosine**2 * (energy[hi] - energy[lo]), 1e-9))
+            for a in range(0, len(may), 1024):
+                w_lo, w_hi, own = lo[may[a : a + 1024]], hi[may[a : a + 1024]], owner[may[a : a + 1024]]
+                size = w_hi - w_lo
+                words = ids[np.repeat(w_lo, size) + counts_of(size)]
+                inside = words < m
+                edge = np.searchsorted(np.flatnonzero(inside), np.cumsum(size) - size)
+                length = np.sqrt(energy[w_hi] - energy[w_lo]).astype(np.float32)
+                near = np.add.reduceat(weighted[words[inside]], edge, axis=0) @ q / length[:, None]
                 for w, t in zip(*np.nonzero(near >= cosine), strict=True):
                     d = int(own[w])
                     reach = len(items[t]) + WINDOW // 2
@@ -209,7 +218,10 @@ def _search(batches: Iterable[pd.DataFrame], names: list[int], item_ids: list[np
                     if (*key, first) in done:
                         continue
                     done.add((*key, first))
-                    share, got, kind = judge(items[t], answers[t], _densest(ids[first:last], item_ids[t]))
+                    region = _densest(ids[first:last], belongs[t], len(items[t]))
+                    if region is None or sum(map(counts[t].get, set(region) & counts[t].keys())) < PARAPHRASE * len(items[t]):
+                        continue  # no subsequence can be longer than the occurrences in the item of the words that both have
+                    share, got, kind = judge(items[t], answers[t], region)
                     if kind and (key not in best or share > best[key][3]):
                         best[key] = (docs[d], names[t], float(near[w, t]), share, got, kind)
             done.clear()
@@ -217,14 +229,15 @@ def _search(batches: Iterable[pd.DataFrame], names: list[int], item_ids: list[np
         yield out.astype({"doc_id": "Int64"})
 
 
-def _densest(region: np.ndarray, item: np.ndarray) -> list[int]:
-    """The stretch of 1.5 times the item's length (at least 16 words more) with most of its rarer words."""
-    n = max(len(item) + 16, len(item) * 3 // 2)
-    if len(region) <= n:
-        return region.tolist()
-    hits = np.cumsum(np.concatenate([[0], np.isin(region, item)]))
-    at = int(np.argmax(hits[n:] - hits[:-n]))
-    return region[at : at + n].tolist()
+def _densest(region: np.ndarray, belongs: np.ndarray, n: int) -> list[int] | None:
+    """The stretch of 1.5 times the item's length (at least 16 words more) with most of its words; None if those are too
+    few for any leak."""
+    reach = min(max(n + 16, n * 3 // 2), len(region))
+    hits = np.zeros(len(region) + 1, np.int64)
+    np.cumsum(belongs[region], out=hits[1:])
+    inside = hits[reach:] - hits[: len(hits) - reach]
+    at = int(inside.argmax())
+    return region[at : at + reach].tolist() if inside[at] >= PARAPHRASE * n else None
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK) -> DataFrame:
@@ -240,8 +253,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: i
     return found if found is not None else spark.createDataFrame([], OUT)
 
 
-def _added(df: DataFrame, key: str, value: str) -> DataFrame:
-    return df.groupBy(key).agg(F.sum(value).alias(value))
+def _random(n: int, k: int) -> np.ndarray:
+    return (mix(np.arange(1, n * k + 1, dtype=np.uint64)).astype(np.float64) / 2**63 - 1).astype(np.float32).reshape(n, k)
 
 
 def _leaks(docs: DataFrame, items: Items, cosine: float, rank: int) -> DataFrame:
@@ -257,14 +270,17 @@ def _leaks(docs: DataFrame, items: Items, cosine: float, rank: int) -> DataFrame
     idf = np.append(np.log((passages + 1) / (df[:m] + 1)) + 1, np.log(passages + 1) + 1)
 
     l = min(rank, m)
-    omega = (mix(np.arange(1, m * l + 1, dtype=np.uint64)).astype(np.float64) / 2**63 - 1).astype(np.float32).reshape(m, l)
-    parts = lists.mapInPandas(lambda b: _range(b, idf, omega), "slice long, z array<double>")
+    omega = _random(m, l)
+    # Words of so many passages that they tell little apart are left out of the sum over passages, not of the search.
+    sketched = np.where(np.append(df[:m], 0) > FREQUENT * passages, 0.0, idf)
+    parts = lists.mapInPandas(lambda b: _range(b, sketched, omega), "slice long, z array<double>")
     sums = parts.groupBy("slice").agg(*(F.sum(F.col("z")[j]).alias(f"z{j}") for j in range(l))).orderBy("slice").toPandas()  # vocabulary x rank
     z = sums.drop(columns="slice").to_numpy(np.float64) if len(sums) else np.zeros((m, l))
-    flat = np.concatenate(items.ids)
-    owner = np.repeat(np.arange(len(items)), [len(i) for i in items.ids])
-    z = z / max(passages, 1.0) + ITEM_WEIGHT / len(items) * _gram(flat, owner, idf, omega)
-    basis = np.linalg.qr(z)[0].astype(np.float32)
+    rows = np.zeros((len(items), m))
+    for i, words in enumerate(items.ids):
+        np.add.at(rows[i], words, idf[words])
+    own = rows.T if len(items) <= ITEM_RANK else rows.T @ _random(len(items), ITEM_RANK)
+    basis = np.linalg.qr(np.concatenate([own / np.abs(own).max(), z / max(np.abs(z).max(), 1e-9)], axis=1))[0].astype(np.float32)
     names, ids, answers = [i for i, _, _ in items.rows], items.ids, [a for _, _, a in items.rows]
     return lists.mapInPandas(lambda b: _search(b, names, ids, answers, idf, basis, cosine), OUT)
 
