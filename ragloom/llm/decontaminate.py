@@ -15,8 +15,8 @@
    depends on the vocabulary, not on the passages.
 4. All windows of ``WINDOW`` words, ``STRIDE`` apart, of every document are
    searched: those whose cosine with an item in that space reaches ``COSINE``
-   are candidates. Windows whose words outside the vocabulary weigh too much
-   for that are known before they are projected.
+   are candidates. A word's largest part in any item's product bounds a
+   window's cosine from above, which settles most windows with one sum.
 5. Around a candidate the longest common subsequence with the item is taken
    (bit-parallel). A share of ``LCS`` of the item's words is a leak; from
    ``PARAPHRASE`` on it is one if the answer, the item's last sentence (the last
@@ -44,9 +44,11 @@ from pyspark.sql import functions as F
 from ragloom.llm.scratch import materialize
 from ragloom.llm.words import NOT_ALNUM, counts_of, mix, pieces
 
-WINDOW, STRIDE, RANK, ITEM_RANK = 32, 16, 48, 144
-COSINE, LCS, PARAPHRASE, ANSWER = 0.3, 0.75, 0.55, 0.8
+WINDOW, STRIDE, RANK, ITEM_RANK = 32, 16, 48, 256
+COSINE, LCS, PARAPHRASE, ANSWER = 0.14, 0.75, 0.55, 0.8
 FREQUENT, MIN_ITEM, ITEM_BLOCK = 1 / 64, 8, 500
+#: Items whose bounds are taken together.
+CROWD = 12
 #: Words taken through the dense steps at once.
 PIECE_WORDS = 1 << 16
 OUT = "doc_id long, item_id long, cosine double, lcs double, answer double, kind string"
@@ -177,17 +179,21 @@ def judge(item: list[int], answer: int, region: list[int]) -> tuple[float, float
 
 
 def _search(batches: Iterable[pd.DataFrame], names: list[int], item_ids: list[np.ndarray], answers: list[int], idf: np.ndarray, basis: np.ndarray, cosine: float) -> Iterator[pd.DataFrame]:
-    m, k = basis.shape
-    idf32 = idf.astype(np.float32)
-    weighted = basis * idf32[:m, None]
+    m = len(basis)
+    weighted = basis * idf[:m, None].astype(np.float32)
     q = np.stack([weighted[i].sum(axis=0) for i in item_ids])
-    norm = np.linalg.norm(q, axis=1)
-    q = (q / np.maximum(norm, 1e-9)[:, None]).T.astype(np.float32)
+    q /= np.maximum(np.linalg.norm(q, axis=1), 1e-9)[:, None]
+    # A word's part in the product of a window with each item, and the most it can be for any item.
+    part = np.concatenate([weighted @ q.T, np.zeros((1, len(q)), np.float32)])
+    most = np.maximum(part.max(axis=1), 0).astype(np.float64)
+    crowd = np.maximum.reduceat(part, np.arange(0, len(q), CROWD), axis=1)
+    square = idf**2
     items = [i.tolist() for i in item_ids]
     counts = [Counter(i) for i in items]
     belongs = np.zeros((len(items), m + 1), bool)
     for t, i in enumerate(item_ids):
         belongs[t, i] = True
+    crowd = np.maximum.reduceat(part, np.arange(0, len(q), CROWD), axis=1)
     square = idf**2
     for batch in batches:
         best: dict[tuple, tuple] = {}
@@ -199,21 +205,20 @@ def _search(batches: Iterable[pd.DataFrame], names: list[int], item_ids: list[np
             lo = begin[owner] + counts_of(windows) * STRIDE
             hi = np.minimum(lo + WINDOW, begin[owner + 1])
             energy = np.concatenate([[0.0], np.cumsum(square[ids])])
-            within = np.concatenate([[0.0], np.cumsum(np.where(ids < m, square[ids], 0.0))])
-            # Cauchy-Schwarz: a window's cosine is at most the root of the vocabulary's share in its squared length.
-            may = np.flatnonzero(within[hi] - within[lo] >= np.maximum(cosine**2 * (energy[hi] - energy[lo]), 1e-9))
+            reach = np.concatenate([[0.0], np.cumsum(most[ids])])
+            least = np.sqrt(energy[hi] - energy[lo])  # a window's length if no word came twice
+            may = np.flatnonzero(reach[hi] - reach[lo] >= np.maximum(cosine * least, 1e-9))  # no item is nearer than this bound
             for a in range(0, len(may), 1024):
-                w_lo, w_hi, own = lo[may[a : a + 1024]], hi[may[a : a + 1024]], owner[may[a : a + 1024]]
-                size = w_hi - w_lo
-                words = ids[np.repeat(w_lo, size) + counts_of(size)]
-                inside = words < m
-                edge = np.searchsorted(np.flatnonzero(inside), np.cumsum(size) - size)
-                length = np.sqrt(energy[w_hi] - energy[w_lo]).astype(np.float32)
-                near = np.add.reduceat(weighted[words[inside]], edge, axis=0) @ q / length[:, None]
+                some = may[a : a + 1024]
+                some = some[(_sums(crowd, ids, lo[some], hi[some]) >= cosine * least[some, None]).any(axis=1)]  # the same bound for 12 items or so at once
+                if not len(some):
+                    continue
+                w_lo, w_hi, own = lo[some], hi[some], owner[some]
+                near = _sums(part, ids, w_lo, w_hi) / _lengths(ids, w_lo, w_hi, square)[:, None]
                 for w, t in zip(*np.nonzero(near >= cosine), strict=True):
                     d = int(own[w])
-                    reach = len(items[t]) + WINDOW // 2
-                    first, last = max(int(begin[d]), int(w_lo[w]) - reach), min(int(begin[d + 1]), int(w_hi[w]) + reach)
+                    around = len(items[t]) + WINDOW // 2
+                    first, last = max(int(begin[d]), int(w_lo[w]) - around), min(int(begin[d + 1]), int(w_hi[w]) + around)
                     key = (docs[d], d, int(t))
                     if (*key, first) in done:
                         continue
@@ -229,6 +234,27 @@ def _search(batches: Iterable[pd.DataFrame], names: list[int], item_ids: list[np
         yield out.astype({"doc_id": "Int64"})
 
 
+def _words(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of windows one after the other, and how many each has."""
+    size = hi - lo
+    return ids[np.repeat(lo, size) + counts_of(size)], size
+
+
+def _sums(rows: np.ndarray, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Per window the sum of its words' rows; the last row, of words outside the vocabulary, is 0. Each window has one inside."""
+    words, size = _words(ids, lo, hi)
+    inside = words < len(rows) - 1
+    edge = np.searchsorted(np.flatnonzero(inside), np.cumsum(size) - size)
+    return np.add.reduceat(rows[words[inside]], edge, axis=0)
+
+
+def _lengths(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """TF-IDF lengths of windows."""
+    words, size = _words(ids, lo, hi)
+    key, count = np.unique(np.repeat(np.arange(len(size)), size) * len(square) + words.astype(np.int64), return_counts=True)
+    return np.sqrt(np.bincount(key // len(square), weights=count**2 * square[key % len(square)], minlength=len(size))).astype(np.float32)
+
+
 def _densest(region: np.ndarray, belongs: np.ndarray, n: int) -> list[int] | None:
     """The stretch of 1.5 times the item's length (at least 16 words more) with most of its words; None if those are too
     few for any leak."""
