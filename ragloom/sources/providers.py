@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 ATTEMPTS, BASE_WAIT, LEAST_WAIT, MOST_WAIT, TIMEOUT_S = 3, 1.0, 1.0, 16.0, 30.0
 
@@ -90,9 +91,9 @@ def endpoint(url: str) -> str:
 
 def apply(df: DataFrame, provider: Provider, output: dict[str, str], sleep: Callable[[float], None] | None = None) -> DataFrame:
     """df with the provider's output columns, and error_code, error_message, retryable where it failed. One client a partition."""
-    schema = df.schema
+    schema = T.StructType(list(df.schema.fields))
     for name, kind in (output | {"error_code": "string", "error_message": "string", "retryable": "boolean"}).items():
-        schema = schema.add(name, kind)
+        schema.add(name, kind)
     names = list(output)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
