@@ -50,7 +50,7 @@ from ragloom.llm.words import SPACES, grams, mix, pieces
 N, PERCENT = 5, 80
 #: Shingles a task holds before it deals them out, and a block's shingles at most.
 TASK_SHINGLES, BLOCK_SHINGLES = 1_000_000, 1_500_000
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 2
 BROADCAST_CLASSES, BROADCAST_IDS = 200_000, 500_000
 #: DivideSkip's factor: of T lists at most T / (MU * log2(longest) + 1) are set aside.
 MU = 0.01
@@ -333,7 +333,7 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = buckets or BUCKETS_PER_PARTITION * parts
     lists = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda b: _postings(b, n), POSTINGS)
-    spread = lists.groupBy("bucket").applyInPandas(lambda p: _shared(p, n), SPREAD)
+    spread = lists.groupBy("bucket").applyInPandas(lambda p: _shared(p, parts), SPREAD)
     found = materialize(spread.groupBy("part").applyInPandas(_documents, DOCS), "join-documents")
 
     may = found.where("shingles is not null")
