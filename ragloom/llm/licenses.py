@@ -110,15 +110,16 @@ def _scan(piece: Piece, index: Index, min_coverage: float) -> Iterator[tuple[int
         for e in range(a, b):
             t = int(index.template[e])
             diagonal = int(word - index.at[e])
-            if any((t, diagonal + d, doc) in tried for d in range(-BAND // 2, BAND // 2 + 1)):
+            template = index.words[t]
+            band = min(BAND, max(1, len(template) // 4))  # a short template beside its own copy stays within its own words
+            if any((t, diagonal + d, doc) in tried for d in range(-(band // 2), band // 2 + 1)):
                 continue
             tried.add((t, diagonal, doc))
             base, top = int(piece.of[doc]), int(piece.of[doc + 1])
-            template = index.words[t]
-            first = max(base, diagonal - BAND)
-            last = min(top, diagonal + len(template) + BAND)
-            score, s, e2 = align(template, piece.hash[first:last], diagonal - first)
-            if score >= min_coverage * len(template) and e2 - s <= len(template) + BAND:
+            first = max(base, diagonal - band)
+            last = min(top, diagonal + len(template) + band)
+            score, s, e2 = align(template, piece.hash[first:last], diagonal - first, band)
+            if score >= min_coverage * len(template) and e2 - s <= len(template) + band:
                 found.append((doc, score / len(template), score, t, first + s, first + e2))
     taken: dict[int, list[tuple[int, int]]] = {}
     for doc, coverage, score, t, s, e in sorted(found, key=lambda x: (x[0], -x[2], -x[1], x[3], x[4])):

@@ -89,7 +89,7 @@ def budgets(totals: DataFrame, n_sources: int, alpha: float) -> DataFrame:
     most, whole = totals.agg(F.max("n"), F.sum("n")).first()
     part = F.pow(F.col("n") / F.lit(most), F.lit(alpha))
     summed = totals.agg(F.sum(part)).first()[0]
-    out = totals.withColumn("budget", F.floor(part / F.lit(summed) * F.lit(whole)).cast("long"))
+    out = totals.withColumn("budget", F.floor(part / F.lit(summed) * F.lit(whole) + 1e-6).cast("long"))
     return out.withColumn("full", F.floor(F.col("budget") / F.col("n")).cast("int")).withColumn("rest", F.col("budget") - F.col("full") * F.col("n"))
 
 

@@ -99,7 +99,7 @@ ORACLE = {
                     SELECT i, lo, hi, mid, low, top, whole, list_sum(list_transform(ns, lambda x: pow(x / top, mid))) AS s FROM (
                         SELECT i, lo, hi, (lo + hi) / 2 AS mid, g.* FROM b, g WHERE i < {mixing.STEPS})))),
         alpha_of AS MATERIALIZED (SELECT CASE WHEN (SELECT pow(low / top, alpha) / list_sum(list_transform(ns, lambda x: pow(x / top, alpha))) * whole <= {mixing.MOST_REPEATS} * low FROM g, first_alpha) THEN (SELECT alpha FROM first_alpha) ELSE (SELECT hi FROM b WHERE i = {mixing.STEPS}) END AS alpha),
-        shares AS MATERIALIZED (SELECT source, n, floor(pow(n / top, alpha) / sum(pow(n / top, alpha)) OVER () * whole)::BIGINT AS budget FROM totals, g, alpha_of),
+        shares AS MATERIALIZED (SELECT source, n, floor(pow(n / top, alpha) / sum(pow(n / top, alpha)) OVER () * whole + 1e-6)::BIGINT AS budget FROM totals, g, alpha_of),
         plan AS MATERIALIZED (SELECT source, n, budget // n AS whole_passes, budget % n AS rest, ceil(n / {mixing.BLOCK_TOKENS}.0) AS blocks FROM shares),
         e AS (SELECT r.doc_id, r.source, r.tokens, p.whole_passes, p.rest, p.blocks, unnest(range(0, whole_passes + 1)) AS epoch FROM r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source),
         o AS (SELECT *, ('0x' || substr(md5('{mixing.SEED}|' || epoch || '|' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS order_key FROM e),
