@@ -45,7 +45,7 @@ from ragloom.llm.scratch import materialize
 from ragloom.llm.words import NOT_ALNUM, counts_of, mix, pieces
 
 WINDOW, STRIDE, RANK, ITEM_RANK = 32, 16, 48, 256
-COSINE, LCS, PARAPHRASE, ANSWER = 0.14, 0.75, 0.55, 0.8
+COSINE, LCS, PARAPHRASE, ANSWER = 0.11, 0.75, 0.55, 0.8
 FREQUENT, MIN_ITEM, ITEM_BLOCK = 1 / 64, 8, 500
 #: Items whose bounds are taken together.
 CROWD = 12
