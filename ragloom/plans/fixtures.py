@@ -44,7 +44,7 @@ SQL_SCORES = f"""scores AS (SELECT q.vec_id AS query_id, c.vec_id AS item_id, q.
 
 
 def sql_top(k: int, where: str = "true", source: str = "scores", by: str = "score", name: str = "rank") -> str:
-    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {by} DESC, item_id) AS {name} FROM {source} WHERE {where}) WHERE {name} <= {k})"
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {by} DESC, item_id)::INT AS {name} FROM {source} WHERE {where}) WHERE {name} <= {k})"
 
 
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
