@@ -288,7 +288,7 @@ def _leaks(docs: DataFrame, items: Items, cosine: float, rank: int) -> DataFrame
     if not len(items):
         return spark.createDataFrame([], OUT)
     vocabulary, m = items.vocabulary, len(items.vocabulary)
-    lists = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda b: encode(b, vocabulary), "doc_id long, n long, ids binary"), "decontaminate-words")
+    lists = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda b: encode(b, vocabulary), "doc_id long, n long, ids binary"), "decontaminate-words", batch_rows=1000)
 
     counted = lists.mapInPandas(lambda b: _frequencies(b, m), "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).orderBy("at").toPandas()  # a row per word of the items
     df = counted["df"].to_numpy(np.float64) if len(counted) else np.zeros(m + 1)

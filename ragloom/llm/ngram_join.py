@@ -49,7 +49,8 @@ from ragloom.llm.words import SPACES, grams, mix, pieces
 
 N, PERCENT = 5, 80
 #: Shingles a task holds before it deals them out, and a block's shingles at most.
-TASK_SHINGLES, BLOCK_SHINGLES = 1_000_000, 1_500_000
+TASK_SHINGLES, BLOCK_SHINGLES = 600_000, 1_500_000
+TEXT_ROWS = 1000
 BUCKETS_PER_PARTITION = 2
 BROADCAST_CLASSES, BROADCAST_IDS = 200_000, 500_000
 #: DivideSkip's factor: of T lists at most T / (MU * log2(longest) + 1) are set aside.
@@ -196,7 +197,7 @@ def _shared(postings: pd.DataFrame, parts: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["part", "kind", "docs", "counts", "shingles"])
 
 
-DOCS = "doc_id long, n long, lonely long, a long, b long, shingles binary"
+DOCS = "doc_id long, rows long, n long, lonely long, a long, b long, shingles binary"
 
 
 def _documents(rows: pd.DataFrame) -> pd.DataFrame:
@@ -207,6 +208,7 @@ def _documents(rows: pd.DataFrame) -> pd.DataFrame:
     order = np.lexsort((n, d))
     d, n = d[order], n[order]
     last = np.append(d[1:] != d[:-1], True) if len(d) else np.zeros(0, bool)
+    times = np.diff(np.append(-1, np.flatnonzero(last)))
     d, n = d[last], n[last]
     rest = rows[rows["kind"] == 2]
     doc = np.concatenate([np.repeat(np.frombuffer(x, np.int64), np.frombuffer(c, np.int32)) for x, c in zip(rest["docs"], rest["counts"], strict=True)] or [np.zeros(0, np.int64)])
@@ -226,10 +228,10 @@ def _documents(rows: pd.DataFrame) -> pd.DataFrame:
             if not lonely[i]:
                 m = mix(s)
                 a, b = int(m.sum(dtype=np.uint64).astype(np.int64)), int(mix(m + np.uint64(77)).sum(dtype=np.uint64).astype(np.int64))
-            out.append((d[i], n[i], lonely[i], a, b, s.tobytes()))
+            out.append((d[i], times[i], n[i], lonely[i], a, b, s.tobytes()))
         else:
-            out.append((d[i], n[i], lonely[i], None, None, None))
-    return pd.DataFrame(out, columns=["doc_id", "n", "lonely", "a", "b", "shingles"]).astype({"a": "Int64", "b": "Int64"})
+            out.append((d[i], times[i], n[i], lonely[i], None, None, None))
+    return pd.DataFrame(out, columns=["doc_id", "rows", "n", "lonely", "a", "b", "shingles"]).astype({"a": "Int64", "b": "Int64"})
 
 
 def _prefixes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -329,12 +331,17 @@ def _blocks(reps: DataFrame, near: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per document."""
+    return _join(docs, buckets)[0]
+
+
+def _join(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The result, and the doc_ids of several rows."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = buckets or BUCKETS_PER_PARTITION * parts
     lists = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda b: _postings(b, n), POSTINGS)
     spread = lists.groupBy("bucket").applyInPandas(lambda p: _shared(p, parts), SPREAD)
-    found = materialize(spread.groupBy("part").applyInPandas(_documents, DOCS), "join-documents")
+    found = materialize(spread.groupBy("part").applyInPandas(_documents, DOCS), "join-documents", batch_rows=TEXT_ROWS)
 
     may = found.where("shingles is not null")
     classes = materialize(may.where("a is not null").groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "join-classes")
@@ -354,7 +361,7 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     linked = materialize(named.where("component != doc_id"), "join-result")
     out = found.select("doc_id", F.col("n").alias("n_shingles")).join(linked, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     nameless = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), _set_size(F.col("text")).alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(nameless)
+    return out.unionByName(nameless), found.where("rows > 1").select("doc_id")
 
 
 def _set_size(text):
@@ -366,8 +373,16 @@ def _set_size(text):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all their columns, whose doc_id is the smallest of its component, and rows without doc_id."""
-    gone = materialize(join(docs).where("component_id != doc_id").select("doc_id"), "join-gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, all their columns, whose doc_id is the smallest of its component, one row each (of several with
+    one doc_id the least by text, then the other columns that can be ordered); and all rows without doc_id."""
+    result, repeated = _join(docs)
+    gone = materialize(result.where("component_id != doc_id").select("doc_id"), "join-gone")
+    more = materialize(repeated, "join-repeated")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    left = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    if more.isEmpty():
+        return left
+    sortable = [f.name for f in docs.schema.fields if f.name != "text" and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    row, order = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct("text", *(F.col(f"`{c}`") for c in sortable))
+    once = left.join(small(more), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("_row")).select("_row.*")
+    return left.join(small(more), "doc_id", "left_anti").select(*docs.columns).unionByName(once)

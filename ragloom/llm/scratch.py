@@ -32,10 +32,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """batch_rows: rows of an Arrow batch while df is computed, for plans that hand whole texts to Python."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    if batch_rows:
+        spark.conf.set(_BATCH, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
