@@ -75,3 +75,8 @@ def hash_embed(text: Column, dim: int = 64) -> Column:
     slots = F.transform(tokens(text), lambda t: hash_slot(t, dim))
     counts = F.transform(F.array(slots), lambda s: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double")))[0]
     return F.transform(F.array(counts), lambda c: F.transform(F.array(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0)))[0])[0]
+
+
+def preview(text: Column, most: int = 80) -> Column:
+    """The beginning, for logs."""
+    return F.substring(text, 1, most)

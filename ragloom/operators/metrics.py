@@ -34,3 +34,8 @@ def prf(predicted: Column, truth: Column) -> list[Column]:
     tp, fp, fn = (F.count(F.when(c, 1)) for c in (predicted & truth, predicted & ~truth, ~predicted & truth))
     p, r = F.try_divide(tp, tp + fp), F.try_divide(tp, tp + fn)
     return [tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.try_divide(2 * tp, 2 * tp + fp + fn), 6).alias("f1")]
+
+
+def throughput(rows: Column, seconds: Column) -> Column:
+    """Rows a second; null without time."""
+    return F.round(F.try_divide(rows.cast("double"), seconds.cast("double")), 6)

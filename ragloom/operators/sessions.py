@@ -42,8 +42,9 @@ class State:
         return State(**json.loads(text))
 
 
-def step(s: State, kind: str, size: int, payload: str | None, limit: int = int(MAX_AUDIO_MB * 1024 * 1024)) -> list[tuple[str, str, str]]:
-    """Changes s by one message; the server events (type, request_id, detail)."""
+def step(s: State, kind: str, size: int, payload: str | None, limit: int = int(MAX_AUDIO_MB * 1024 * 1024), most_frame: int | None = None, most_ms: int | None = None) -> list[tuple[str, str, str]]:
+    """Changes s by one message; the server events (type, request_id, detail). A frame over most_frame is refused; audio
+    over limit bytes or most_ms (32 bytes each) fails at its end."""
     if s.closed:
         return []
     if kind == "disconnect":
@@ -54,6 +55,8 @@ def step(s: State, kind: str, size: int, payload: str | None, limit: int = int(M
             return []
         if not s.active:
             return [("error", s.request_id or "unknown", "INVALID_REQUEST")]
+        if most_frame is not None and size > most_frame:
+            return [("error", s.request_id, "INVALID_REQUEST")]
         s.size += size
         return []
     if not payload:
@@ -77,7 +80,7 @@ def step(s: State, kind: str, size: int, payload: str | None, limit: int = int(M
     if name == "audio_end" and s.active:
         s.active = False
         out = [("warning", s.request_id, "REQUEST_ID_MISMATCH")] if given is not None and given != s.request_id else []
-        if not 0 < s.size <= limit:
+        if not 0 < s.size <= limit or (most_ms is not None and s.size // 32 > most_ms):
             return [*out, ("error", s.request_id, "INVALID_REQUEST"), ("complete", s.request_id, "failed")]
         return [*out, ("transcript", s.request_id, s.language or "auto"), *(("processing", s.request_id, x) for x in RUN_STAGES), ("answer", s.request_id, str(s.size)), ("complete", s.request_id, "success")]
     return []

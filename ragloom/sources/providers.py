@@ -85,6 +85,16 @@ def select_engine(production: bool, remote: Provider | None = None) -> Provider:
     return remote or fixture_engine()
 
 
+def form_fields(provider: str, model: str, language: str | None = None, mode: str | None = None) -> dict[str, str]:
+    """Form fields beside the audio file: the first provider takes mode and language_code, the second language."""
+    fields = {"model": model}
+    if provider == "sarvam" and mode:
+        fields["mode"] = mode
+    if language:
+        fields["language_code" if provider == "sarvam" else "language"] = language
+    return fields
+
+
 def endpoint(url: str) -> str:
     return url.rstrip("/")
 

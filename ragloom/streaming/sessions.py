@@ -58,6 +58,7 @@ def per_session(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -
     return timed.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("start"), "events")
 
 
-def once(messages: DataFrame, sink_batch, checkpoint: str, max_files: int | None = None):
-    """Run what is available through the machine; sink_batch(df, batch_id) gets finalised events."""
+def once(messages: DataFrame, sink_batch, checkpoint: str):
+    """Run what is available through the machine; sink_batch(df, batch_id) gets finalised events. The source bounds a batch
+    (maxFilesPerTrigger, maxOffsetsPerTrigger)."""
     return machine(messages).writeStream.foreachBatch(sink_batch).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
