@@ -62,35 +62,49 @@ def answer(request_id: Column, text: Column, language: Column, grounded: Column,
 _CLIENT_KEYS = {"session_start": ["type", "request_id", "language", "session_id"], "audio_end": ["type", "request_id"], "cancel": ["type", "request_id"]}
 
 
+def _parsed(json: Column, names: list[str], body) -> Column:
+    """body(fields, keys) with the JSON parsed once: fields as strings by name, keys null if json is no object."""
+    fields = F.from_json(json, ", ".join(f"{n} string" for n in names))
+    return F.transform(F.array(F.struct(fields.alias("f"), F.json_object_keys(json).alias("k"))), lambda s: body(lambda n: s["f"][n], s["k"]))[0]
+
+
 def client_event(json: Column, strict: bool = True) -> Column:
     """strict follows the contract (no further keys), lenient the running service."""
-    get = lambda k: F.get_json_object(json, f"$.{k}")
-    kind, keys = get("type"), F.json_object_keys(json)
-    known = F.coalesce(kind.isin(CLIENT_EVENTS), F.lit(False))
-    start = F.coalesce(kind == "session_start", F.lit(False))
-    extra = F.lit(False)
-    for k, allowed in _CLIENT_KEYS.items():
-        extra = extra | F.coalesce((kind == k) & (F.size(F.array_except(keys, F.array(*map(F.lit, allowed)))) > 0), F.lit(False))
-    return F.when(keys.isNull(), F.lit("json")).otherwise(_violated([
-        ("type", ~known),
-        ("request_id", known & _missing(get("request_id"))),
-        ("language", start & (~F.array_contains(keys, "language") | ~get("language").isin(LOCALES))),
-        ("session_id", start & (F.length(get("session_id")) == 0)),
-        *([("extra", extra)] if strict else []),
-    ]))
+
+    def check(get, keys: Column) -> Column:
+        kind = get("type")
+        known = F.coalesce(kind.isin(CLIENT_EVENTS), F.lit(False))
+        start = F.coalesce(kind == "session_start", F.lit(False))
+        rules = [
+            ("type", ~known),
+            ("request_id", known & _missing(get("request_id"))),
+            ("language", start & (~F.array_contains(keys, "language") | ~get("language").isin(LOCALES))),
+            ("session_id", start & (F.length(get("session_id")) == 0)),
+        ]
+        if strict:
+            extra = F.lit(False)
+            for k, allowed in _CLIENT_KEYS.items():
+                extra = extra | ((kind == k) & (F.size(F.array_except(keys, F.array(*map(F.lit, allowed)))) > 0))
+            rules.append(("extra", known & extra))
+        return F.when(keys.isNull(), F.lit("json")).otherwise(_violated(rules))
+
+    return _parsed(json, ["type", "request_id", "language", "session_id"], check)
 
 
 def server_event(kind: Column, request_id: Column, timestamp: Column, data: Column) -> Column:
     """The evident intent of the contract: envelope and data of the event's kind (data: JSON string)."""
-    get = lambda k: F.get_json_object(data, f"$.{k}")
-    return _violated([
-        ("type", kind.isNull() | ~kind.isin(SERVER_EVENTS)),
-        ("request_id", _missing(request_id)),
-        ("timestamp", timestamp.isNull() | F.try_to_timestamp(timestamp).isNull()),
-        ("stage", (kind == "processing") & (get("stage").isNull() | ~get("stage").isin(STAGES))),
-        ("code", (kind == "error") & (get("code").isNull() | ~get("code").isin(ERROR_CODES))),
-        ("message", (kind == "error") & _missing(get("message"))),
-        ("retryable", (kind == "error") & F.array_contains(F.json_object_keys(data), "retryable") & (get("retryable").isNull() | ~get("retryable").isin("true", "false"))),
-        ("status", (kind == "complete") & (get("status").isNull() | ~get("status").isin(COMPLETIONS))),
-        ("text", (kind == "transcript") & get("text").isNull()),
-    ])
+
+    def check(get, keys: Column) -> Column:
+        return _violated([
+            ("type", kind.isNull() | ~kind.isin(SERVER_EVENTS)),
+            ("request_id", _missing(request_id)),
+            ("timestamp", timestamp.isNull() | F.try_to_timestamp(timestamp).isNull()),
+            ("stage", (kind == "processing") & (get("stage").isNull() | ~get("stage").isin(STAGES))),
+            ("code", (kind == "error") & (get("code").isNull() | ~get("code").isin(ERROR_CODES))),
+            ("message", (kind == "error") & _missing(get("message"))),
+            ("retryable", (kind == "error") & F.array_contains(keys, "retryable") & (get("retryable").isNull() | ~get("retryable").isin("true", "false"))),
+            ("status", (kind == "complete") & (get("status").isNull() | ~get("status").isin(COMPLETIONS))),
+            ("text", (kind == "transcript") & get("text").isNull()),
+        ])
+
+    return _parsed(data, ["stage", "code", "message", "retryable", "status", "text"], check)

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql.types import BooleanType
+
+try:
+    import ahocorasick
+except ImportError:  # then a broadcast join does the same, text by text
+    ahocorasick = None
 
-#: Held-out texts (by count and by total characters) that are sent to every executor; beyond, blocks of them.
-HELDOUT_ROWS, HELDOUT_CHARS = 20_000, 64_000_000
+#: Held-out texts (by count and by total characters) that are sent to every executor at once; beyond, blocks of them.
+HELDOUT_ROWS, HELDOUT_CHARS = 20_000, 2_000_000
 
 
 def exploded(nested: DataFrame, array: str) -> DataFrame:
@@ -32,14 +40,33 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return docs.join(first, key, "left_semi")
 
 
+def _holds_any(texts: list[str]) -> Column:
+    """Whether a text contains one of texts: one pass over it, however many there are."""
+
+    @F.pandas_udf(BooleanType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for t in texts:
+            automaton.add_word(t, 1)
+        automaton.make_automaton()
+        for b in batches:
+            yield b.map(lambda t: isinstance(t, str) and next(automaton.iter(t), None) is not None).astype(bool)
+
+    return run
+
+
 def exclude_heldout(docs: DataFrame, heldout: DataFrame, text: str = "text", held: str = "text") -> DataFrame:
-    """docs that contain no held-out text. The held-out side is broadcast below a checked size, else in blocks below it."""
+    """docs that contain no held-out text. Held-out texts go to the executors in blocks of a bounded size."""
     rows, chars = heldout.agg(F.count("*"), F.sum(F.length(held))).first()
     blocks = max(1, -(-rows // HELDOUT_ROWS), -(-(chars or 0) // HELDOUT_CHARS))
     for i in range(blocks):
         part = heldout.where(F.col(held).isNotNull() & (F.length(held) > 0)).select(F.col(held).alias("_held"))
         if blocks > 1:
             part = part.where(F.pmod(F.xxhash64("_held"), F.lit(blocks)) == i)
+        if ahocorasick:
+            texts = sorted({r["_held"] for r in part.collect()})
+            docs = docs.where(~_holds_any(texts)(F.col(text))) if texts else docs
+            continue
         docs = docs.join(F.broadcast(part), F.contains(F.col(text), F.col("_held")), "left_anti")
     return docs
 

@@ -57,8 +57,10 @@ def test_snapshot_round_trip(spark, tmp_path):
     assert index.verify(back, 2, 1).first()["ready"] and not index.verify(back, 2, 2).first()["ready"] and not index.verify(back, 3, 1).first()["ready"]
 
 
-def test_heldout_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("automaton", [True, False])
+def test_heldout_in_blocks(spark, monkeypatch, automaton):
     monkeypatch.setattr(ingest, "HELDOUT_ROWS", 2)
+    monkeypatch.setattr(ingest, "ahocorasick", ingest.ahocorasick if automaton else None)
     docs = spark.createDataFrame([(1, "xx alpha yy"), (2, "beta"), (3, "gamma"), (4, None)], "doc_id long, text string")
     held = spark.createDataFrame([("alpha",), ("beta",), ("delta",), (None,), ("",)], "text string")
     assert sorted(r[0] for r in ingest.exclude_heldout(docs, held).select("doc_id").collect()) == [3, 4]
