@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ragloom.llm.components import components
 from ragloom.llm.scratch import materialize
-from ragloom.llm.skew import attach
+from ragloom.llm.skew import attach, even_keys
 from ragloom.llm.words import SPACES, grams, mix, pieces
 
 N, PERCENT = 5, 80
@@ -88,12 +88,13 @@ def _blob(x: np.ndarray, kind) -> bytes:
 POSTINGS = "bucket long, kind int, docs binary, counts binary, shingles binary"
 
 
-def _postings(batches: Iterable[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
-    """kind 0: sizes (docs, counts); 1: shingles with their documents; 2: shingles known to be shared; 3: the same with all but one document left out."""
+def _postings(batches: Iterable[pd.DataFrame], keys: list[int]) -> Iterator[pd.DataFrame]:
+    """keys: a bucket's name in the result. kind 0: sizes (docs, counts); 1: shingles with their documents; 2: shingles known to be shared; 3: the same with all but one document left out."""
     ids: list[np.ndarray] = []
     found: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
     held = turn = 0
+    buckets = len(keys)
 
     def deal() -> Iterator[pd.DataFrame]:
         nonlocal held, turn
@@ -126,7 +127,7 @@ def _postings(batches: Iterable[pd.DataFrame], buckets: int) -> Iterator[pd.Data
         for x in (ids, found, sizes):
             x.clear()
         held = 0
-        yield pd.DataFrame(out, columns=["bucket", "kind", "docs", "counts", "shingles"])
+        yield pd.DataFrame([(keys[r[0]], *r[1:]) for r in out], columns=["bucket", "kind", "docs", "counts", "shingles"])
 
     for batch in batches:
         batch = batch[batch["doc_id"].notna()]
@@ -145,8 +146,9 @@ def _postings(batches: Iterable[pd.DataFrame], buckets: int) -> Iterator[pd.Data
 SPREAD = "part long, kind int, docs binary, counts binary, shingles binary"
 
 
-def _shared(postings: pd.DataFrame, parts: int) -> pd.DataFrame:
-    """One bucket: which shingles are in two documents or more, dealt on by document. kind 0 sizes, 2 shared shingles."""
+def _shared(postings: pd.DataFrame, keys: list[int]) -> pd.DataFrame:
+    """keys: a part's name in the result. One bucket: which shingles are in two documents or more, dealt on by document. kind 0 sizes, 2 shared shingles."""
+    parts = len(keys)
     bucket = np.uint64(int(postings["bucket"].iloc[0]) & 0xFFFF) << np.uint64(48)
     docs: list[np.ndarray] = [np.zeros(0, np.int64)]
     toks: list[np.ndarray] = [np.zeros(0, np.uint64)]
@@ -190,10 +192,10 @@ def _shared(postings: pd.DataFrame, parts: int) -> pd.DataFrame:
         for p in np.flatnonzero(np.diff(edge)):
             dd, vv = d[edge[p] : edge[p + 1]], v[edge[p] : edge[p + 1]]
             if kind == 0:
-                out.append((int(p), 0, _blob(dd, np.int64), _blob(vv, np.int64), b""))
+                out.append((keys[p], 0, _blob(dd, np.int64), _blob(vv, np.int64), b""))
             else:
                 at, counts = np.unique(dd, return_counts=True)
-                out.append((int(p), 2, _blob(at, np.int64), _blob(counts, np.int32), _blob(vv, np.uint64)))
+                out.append((keys[p], 2, _blob(at, np.int64), _blob(counts, np.int32), _blob(vv, np.uint64)))
     return pd.DataFrame(out, columns=["part", "kind", "docs", "counts", "shingles"])
 
 
@@ -313,7 +315,8 @@ def _blocks(reps: DataFrame, near: DataFrame) -> DataFrame:
     sizes = materialize(placed.groupBy("comp", F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).alias("class")).agg(F.sum(weight).alias("w"), F.count("*").alias("k")), "join-sizes")
     whole = sizes.groupBy("comp").agg(F.sum("w").alias("w"), F.sum("k").alias("k")).where("k > 1")
     small = whole.where(F.col("w") <= BLOCK_SHINGLES)
-    packs = math.ceil((small.agg(F.sum("w")).first()[0] or 0) / BLOCK_SHINGLES) or 1
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packs = max(parts, math.ceil((small.agg(F.sum("w")).first()[0] or 0) / BLOCK_SHINGLES))
     out = placed.join(small.select("comp"), "comp", "left_semi").select("doc_id", "n", "shingles", F.concat(F.lit("p"), F.pmod(F.xxhash64("comp"), F.lit(packs)).cast("string")).alias("_block"), F.lit(0).alias("side"), F.lit(True).alias("own"))
     if whole.where(F.col("w") > BLOCK_SHINGLES).isEmpty():
         return out
@@ -338,9 +341,9 @@ def _join(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataF
     """The result, and the doc_ids of several rows."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = buckets or BUCKETS_PER_PARTITION * parts
-    lists = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda b: _postings(b, n), POSTINGS)
-    spread = lists.groupBy("bucket").applyInPandas(lambda p: _shared(p, parts), SPREAD)
+    keys = even_keys(spark, buckets or BUCKETS_PER_PARTITION * parts, parts)
+    lists = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda b: _postings(b, keys), POSTINGS)
+    spread = lists.groupBy("bucket").applyInPandas(lambda p: _shared(p, keys[:parts]), SPREAD)
     found = materialize(spread.groupBy("part").applyInPandas(_documents, DOCS), "join-documents", batch_rows=TEXT_ROWS)
 
     may = found.where("shingles is not null")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,3 +13,16 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], n_groups: int, m
         return rows.join(F.broadcast(groups), keys, "left")
     salted = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")
+
+
+def even_keys(spark: SparkSession, count: int, parts: int) -> list[int]:
+    """count different longs that hash partitioning deals evenly over ``parts`` partitions: count / parts to each."""
+    each = -(-count // parts)
+    keys: list[list[int]] = [[] for _ in range(parts)]
+    first, size = 0, 16 * count + 1000
+    while any(len(k) < each for k in keys):
+        for i, p in spark.range(first, first + size).select("id", F.pmod(F.hash("id"), F.lit(parts))).collect():
+            if len(keys[p]) < each:
+                keys[p].append(i)
+        first += size
+    return [keys[i % parts][i // parts] for i in range(count)]
