@@ -6,18 +6,20 @@ all documents, up to equal 64-bit hashes.
 
 1. ``_postings``: shingles are hashed and dealt to buckets of an inverted
    index. A shingle that a task sees in several documents is known to be shared
-   at once and goes to its bucket once, so a shingle that a third of all
-   documents hold fills no bucket.
-2. ``_shared``: a bucket tells which of its shingles are in two documents or
+   at once; only a notice of it goes to its bucket, so a shingle that a third
+   of all documents hold fills no bucket.
+2. ``_lookup``: a bucket tells which of its shingles are in two documents or
    more. Only those can overlap; a document with fewer of them than
    ceil(0.8 n) links to nothing, which is the T-occurrence bound and settles
    nearly all documents.
-3. Documents with equal sets form classes; one of each goes on.
+3. Documents with equal sets form classes; one of each goes on, through the
+   index once more (``_again``), which counts the classes of each shingle.
 4. Two sets that link share one of the first n - T + 1 shingles of any common
-   order (the others, T - 1 of them, are what DivideSkip may set aside).
-   Shingles that are not shared come first in ours, then by hash. Equal
-   shingles among these tie candidates to the smallest id that holds them;
-   connected components of those stars contain all links.
+   order (the others, T - 1 of them, are what DivideSkip may set aside). Ours
+   goes by how many classes hold a shingle, those of one class first; shingles
+   of ``HEAVY`` classes in one task are last, uncounted. Equal shingles among
+   these tie candidates to the smallest id that holds them; connected
+   components of those stars contain all links.
 5. ``_search``: within such components, in blocks of bounded size, DivideSkip:
    the short inverted lists of a document are merged and counted, documents
    that reach the count left to the short lists are probed in the long lists,
@@ -51,6 +53,7 @@ N, PERCENT = 5, 80
 #: Shingles a task holds before it deals them out, and a block's shingles at most.
 TASK_SHINGLES, BLOCK_SHINGLES = 600_000, 1_500_000
 TEXT_ROWS = 1000
+HEAVY = 64
 BUCKETS_PER_PARTITION = 2
 BROADCAST_CLASSES, BROADCAST_IDS = 200_000, 500_000
 #: DivideSkip's factor: of T lists at most T / (MU * log2(longest) + 1) are set aside.
@@ -88,73 +91,103 @@ def _blob(x: np.ndarray, kind) -> bytes:
 POSTINGS = "bucket long, kind int, docs binary, counts binary, shingles binary"
 
 
-def _postings(batches: Iterable[pd.DataFrame], keys: list[int]) -> Iterator[pd.DataFrame]:
-    """keys: a bucket's name in the result. kind 0: sizes (docs, counts); 1: shingles with their documents; 2: shingles known to be shared; 3: the same with all but one document left out."""
-    ids: list[np.ndarray] = []
-    found: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
-    held = turn = 0
-    buckets = len(keys)
-
-    def deal() -> Iterator[pd.DataFrame]:
-        nonlocal held, turn
-        docs, n, g = np.concatenate(ids), np.concatenate(sizes), np.concatenate(found)
-        doc = np.repeat(np.arange(len(docs)), n)
-        out = [(turn % buckets, 0, _blob(docs, np.int64), _blob(n, np.int64), b"")]
-        turn += 1
+class _Dealer:
+    """Gathers sets and deals their shingles to buckets. keys: a bucket's name in the result.
+
+    kind 0: sizes (docs, counts); 1: shingles with their documents; 2: shingles that ``heavy`` documents or more here
+    hold, whole, for any bucket; 3: a notice of these to their own bucket, once a task."""
+
+    def __init__(self, keys: list[int], heavy: int):
+        self.keys, self.heavy, self.turn = keys, heavy, 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.sizes, self.lengths, self.found, self.held = [], [], [], [], 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, found: np.ndarray) -> bool:
+        """ids with their sets' sizes, and lengths of the runs of found that are theirs. Whether it is time to deal."""
+        for held, x in ((self.ids, ids), (self.sizes, sizes), (self.lengths, lengths), (self.found, found)):
+            held.append(x)
+        self.held += len(found)
+        return self.held >= TASK_SHINGLES
+
+    def deal(self) -> Iterator[pd.DataFrame]:
+        if not self.ids:
+            return
+        buckets = len(self.keys)
+        docs, g = np.concatenate(self.ids), np.concatenate(self.found)
+        doc = np.repeat(np.arange(len(docs)), np.concatenate(self.lengths))
+        out = [(self.turn % buckets, 0, _blob(docs, np.int64), _blob(np.concatenate(self.sizes), np.int64), b"")]
+        self.turn += 1
         order = np.argsort(g, kind="stable")
-        gs = g[order]
-        same = np.zeros(len(gs) + 1, bool)
-        if len(gs):
-            same[1:-1] = gs[1:] == gs[:-1]
-        many = same[:-1] | same[1:]
-        once = np.zeros(len(g), bool)
-        once[order[~many]] = True
-        one = gs[many & ~same[:-1]]
-        for kind, d, s in ((1, doc[once], g[once]), (2, doc[~once], g[~once])):
-            bucket = ((s >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+        edge = np.flatnonzero(np.append(True, g[order][1:] != g[order][:-1])) if len(g) else np.zeros(0, np.int64)
+        count = np.diff(np.append(edge, len(g)))
+        many = np.zeros(len(g), bool)
+        many[order[np.repeat(count >= self.heavy, count)]] = True
+        notices = g[order][edge[count >= self.heavy]]
+        for kind, d, s in ((1, doc[~many], g[~many]), (2, doc[many], g[many]), (3, None, notices)):
+            bucket = _bucket(s, buckets)
+            if kind == 2:  # needs no lookup, so it goes where there is room; its bucket's name is part of the shingle
+                s, bucket = _named(s, np.array(self.keys, np.int64)[bucket]), doc[many] % buckets
             by = np.argsort(bucket, kind="stable")
-            d, s, edge = d[by], s[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(edge)):
-                dd, ss = d[edge[b] : edge[b + 1]], s[edge[b] : edge[b + 1]]
-                at, counts = np.unique(dd, return_counts=True)
-                body = _blob(ss & np.uint64(0xFFFFFFFF), np.uint32) + _blob(ss >> np.uint64(32) & np.uint64(0xFFFF), np.uint16) if kind == 1 else _blob(ss, np.uint64)
-                out.append((int(b), kind, _blob(docs[at], np.int64), _blob(counts, np.int32), body))
-        bucket = ((one >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-        edge = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(edge)):
-            out.append((int(b), 3, b"", b"", _blob(one[edge[b] : edge[b + 1]] & np.uint64(0xFFFFFFFFFFFF), np.uint64)))
-        for x in (ids, found, sizes):
-            x.clear()
-        held = 0
-        yield pd.DataFrame([(keys[r[0]], *r[1:]) for r in out], columns=["bucket", "kind", "docs", "counts", "shingles"])
+            s, at = s[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
+            d = None if d is None else d[by]
+            for b in np.flatnonzero(np.diff(at)):
+                ss = s[at[b] : at[b + 1]]
+                body = _blob(ss, np.uint64) if kind > 1 else _blob(ss & np.uint64(0xFFFFFFFF), np.uint32) + _blob(ss >> np.uint64(32) & np.uint64(0xFFFF), np.uint16)
+                who, counts = (np.zeros(0, np.int64),) * 2 if d is None else np.unique(d[at[b] : at[b + 1]], return_counts=True)
+                out.append((int(b), kind, _blob(docs[who], np.int64), _blob(counts, np.int32), body))
+        self.clear()
+        yield pd.DataFrame([(self.keys[r[0]], *r[1:]) for r in out], columns=["bucket", "kind", "docs", "counts", "shingles"])
+
+
+def _bucket(g: np.ndarray, buckets: int) -> np.ndarray:
+    return ((g >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+
 
+def _named(g: np.ndarray, keys) -> np.ndarray:
+    """What stands for a shingle: its lower 48 bits and 16 of its bucket's name."""
+    return g & np.uint64(0xFFFFFFFFFFFF) | (np.asarray(keys).astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(48)
+
+
+def _postings(batches: Iterable[pd.DataFrame], keys: list[int]) -> Iterator[pd.DataFrame]:
+    """Of texts; a shingle of two documents here is known to be shared."""
+    dealer = _Dealer(keys, 2)
     for batch in batches:
         batch = batch[batch["doc_id"].notna()]
         doc_ids = batch["doc_id"].to_numpy(np.int64)
         for first, n_texts, doc, g in shingles(batch["text"].tolist()):
-            ids.append(doc_ids[first : first + n_texts])
-            sizes.append(np.bincount(doc, minlength=n_texts))
-            found.append(g)
-            held += len(g)
-            if held >= TASK_SHINGLES:
-                yield from deal()
-    if ids:
-        yield from deal()
+            n = np.bincount(doc, minlength=n_texts)
+            if dealer.add(doc_ids[first : first + n_texts], n, n, g):
+                yield from dealer.deal()
+    yield from dealer.deal()
+
+
+def _again(batches: Iterable[pd.DataFrame], keys: list[int], heavy: int) -> Iterator[pd.DataFrame]:
+    """Of the sets of classes; a shingle of heavy classes here is known to be frequent."""
+    dealer = _Dealer(keys, heavy)
+    for batch in batches:
+        for doc, n, s in zip(batch["doc_id"], batch["n"], batch["shingles"], strict=True):
+            s = mix(np.frombuffer(s, np.uint64))
+            if dealer.add(np.array([doc], np.int64), np.array([n], np.int64), np.array([len(s)]), s):
+                yield from dealer.deal()
+    yield from dealer.deal()
 
 
-SPREAD = "part long, kind int, docs binary, counts binary, shingles binary"
+SPREAD = "part long, kind int, docs binary, counts binary, shingles binary, held binary"
+UNCOUNTED = 0xFFFFFFFF
 
 
-def _shared(postings: pd.DataFrame, keys: list[int]) -> pd.DataFrame:
-    """keys: a part's name in the result. One bucket: which shingles are in two documents or more, dealt on by document. kind 0 sizes, 2 shared shingles."""
+def _lookup(postings: pd.DataFrame, keys: list[int]) -> pd.DataFrame:
+    """One bucket: the documents of each shingle that is in two or more, dealt on by document. keys: a part's name in the
+    result. kind 0 sizes, 2 shingles; counts of shingles: runs of documents, then how many hold each (UNCOUNTED if
+    a task had it from too many to send)."""
     parts = len(keys)
-    bucket = np.uint64(int(postings["bucket"].iloc[0]) & 0xFFFF) << np.uint64(48)
+    name = int(postings["bucket"].iloc[0])
     docs: list[np.ndarray] = [np.zeros(0, np.int64)]
     toks: list[np.ndarray] = [np.zeros(0, np.uint64)]
     known: list[np.ndarray] = [np.zeros(0, np.uint64)]
-    ready: list[tuple[np.ndarray, np.ndarray]] = []
-    out: list[tuple] = []
+    ready: list[tuple[np.ndarray, ...]] = []
     size_docs, size_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for kind, d, c, s in zip(postings["kind"], postings["docs"], postings["counts"], postings["shingles"], strict=True):
         d = np.frombuffer(d, np.int64)
@@ -166,44 +199,44 @@ def _shared(postings: pd.DataFrame, keys: list[int]) -> pd.DataFrame:
             docs.append(np.repeat(d, np.frombuffer(c, np.int32)))
             toks.append(np.frombuffer(s, np.uint32, n).astype(np.uint64) | np.frombuffer(s, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32))
         elif kind == 2:
-            ready.append((np.repeat(d, np.frombuffer(c, np.int32)), np.frombuffer(s, np.uint64) & np.uint64(0xFFFFFFFFFFFF)))
+            s = np.frombuffer(s, np.uint64)
+            ready.append((np.repeat(d, np.frombuffer(c, np.int32)), s, np.full(len(s), UNCOUNTED, np.uint32)))
         else:
-            known.append(np.frombuffer(s, np.uint64))
+            known.append(np.frombuffer(s, np.uint64) & np.uint64(0xFFFFFFFFFFFF))
     doc, tok, extra = np.concatenate(docs), np.concatenate(toks), np.unique(np.concatenate(known))
     order = np.lexsort((doc, tok))
     doc, tok = doc[order], tok[order]
     if len(tok):
-        # A document's copy among its own rows does not make a shingle shared.
-        edge = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+        new = np.append(True, (tok[1:] != tok[:-1]) | (doc[1:] != doc[:-1]))  # rows of one doc_id count once
+        doc, tok = doc[new], tok[new]
+        edge = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
         length = np.diff(np.append(edge, len(tok)))
-        several = doc[edge] != doc[edge + length - 1]
+        count = length.astype(np.uint32)
         if len(extra):
             at = np.minimum(np.searchsorted(extra, tok[edge]), len(extra) - 1)
-            several |= extra[at] == tok[edge]
-        keep = np.repeat(several, length)
-        ready.append((doc[keep], tok[keep]))
-    doc = np.concatenate([r[0] for r in ready]) if ready else doc[:0]
-    tok = (np.concatenate([r[1] for r in ready]) if ready else tok[:0]) | bucket
-    for kind, d, v in ((0, np.concatenate(size_docs), np.concatenate(size_n)), (2, doc, tok)):
+            count[extra[at] == tok[edge]] = UNCOUNTED
+        keep = np.repeat(count > 1, length)
+        ready.append((doc[keep], _named(tok[keep], name), np.repeat(count, length)[keep]))
+    out: list[tuple] = []
+    sizes = (np.concatenate(size_docs), np.concatenate(size_n), None)
+    found = tuple(np.concatenate(x) for x in zip(*ready, strict=True)) if ready else (doc[:0], tok[:0], np.zeros(0, np.uint32))
+    for kind, (d, v, n) in ((0, sizes), (2, found)):
         part = (mix(d.astype(np.uint64)) >> np.uint64(33)).astype(np.int64) % parts
         by = np.lexsort((d, part))
         d, v, part = d[by], v[by], part[by]
         edge = np.searchsorted(part, np.arange(parts + 1))
         for p in np.flatnonzero(np.diff(edge)):
-            dd, vv = d[edge[p] : edge[p + 1]], v[edge[p] : edge[p + 1]]
+            here = slice(edge[p], edge[p + 1])
             if kind == 0:
-                out.append((keys[p], 0, _blob(dd, np.int64), _blob(vv, np.int64), b""))
+                out.append((keys[p], 0, _blob(d[here], np.int64), _blob(v[here], np.int64), b"", b""))
             else:
-                at, counts = np.unique(dd, return_counts=True)
-                out.append((keys[p], 2, _blob(at, np.int64), _blob(counts, np.int32), _blob(vv, np.uint64)))
-    return pd.DataFrame(out, columns=["part", "kind", "docs", "counts", "shingles"])
-
+                at, counts = np.unique(d[here], return_counts=True)
+                out.append((keys[p], 2, _blob(at, np.int64), _blob(counts, np.int32), _blob(v[here], np.uint64), _blob(n[by][here], np.uint32)))
+    return pd.DataFrame(out, columns=["part", "kind", "docs", "counts", "shingles", "held"])
 
-DOCS = "doc_id long, rows long, n long, lonely long, a long, b long, shingles binary"
 
-
-def _documents(rows: pd.DataFrame) -> pd.DataFrame:
-    """One part: a row per document; a, b (a hash of the set) where all its shingles are shared, shingles where it may link."""
+def _gathered(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """One part: documents (ascending) with their rows and size, and each one's shingles from lo to hi, with their counts."""
     size = rows[rows["kind"] == 0]
     d = np.concatenate([np.frombuffer(x, np.int64) for x in size["docs"]] or [np.zeros(0, np.int64)])
     n = np.concatenate([np.frombuffer(x, np.int64) for x in size["counts"]] or [np.zeros(0, np.int64)])
@@ -215,39 +248,46 @@ def _documents(rows: pd.DataFrame) -> pd.DataFrame:
     rest = rows[rows["kind"] == 2]
     doc = np.concatenate([np.repeat(np.frombuffer(x, np.int64), np.frombuffer(c, np.int32)) for x, c in zip(rest["docs"], rest["counts"], strict=True)] or [np.zeros(0, np.int64)])
     tok = np.concatenate([np.frombuffer(x, np.uint64) for x in rest["shingles"]] or [np.zeros(0, np.uint64)])
+    held = np.concatenate([np.frombuffer(x, np.uint32) for x in rest["held"]] or [np.zeros(0, np.uint32)])
     order = np.lexsort((tok, doc))
-    doc, tok = doc[order], tok[order]
+    doc, tok, held = doc[order], tok[order], held[order]
     if len(tok):
         new = np.append(True, (tok[1:] != tok[:-1]) | (doc[1:] != doc[:-1]))
-        doc, tok = doc[new], tok[new]
-    lo, hi = np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")
-    lonely = np.maximum(n - (hi - lo), 0)
+        doc, tok, held = doc[new], tok[new], held[new]
+    return d, times, n, tok, held, np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")
+
+
+DOCS = "doc_id long, rows long, n long, a long, b long, shingles binary"
+
+
+def _documents(rows: pd.DataFrame) -> pd.DataFrame:
+    """One part: a row per document; a, b (a hash of the set) where all its shingles are shared, shingles where it may link."""
+    d, times, n, tok, _, lo, hi = _gathered(rows)
     out = []
     for i in range(len(d)):
         s = tok[lo[i] : hi[i]]
+        a = b = blob = None
         if len(s) and len(s) >= needed(int(n[i])):
-            a = b = None
-            if not lonely[i]:
+            blob = s.tobytes()
+            if len(s) >= n[i]:
                 m = mix(s)
                 a, b = int(m.sum(dtype=np.uint64).astype(np.int64)), int(mix(m + np.uint64(77)).sum(dtype=np.uint64).astype(np.int64))
-            out.append((d[i], times[i], n[i], lonely[i], a, b, s.tobytes()))
-        else:
-            out.append((d[i], times[i], n[i], lonely[i], None, None, None))
-    return pd.DataFrame(out, columns=["doc_id", "rows", "n", "lonely", "a", "b", "shingles"]).astype({"a": "Int64", "b": "Int64"})
+        out.append((d[i], times[i], n[i], a, b, blob))
+    return pd.DataFrame(out, columns=["doc_id", "rows", "n", "a", "b", "shingles"]).astype({"a": "Int64", "b": "Int64"})
 
 
-def _prefixes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The shared ones among the first n - T + 1 shingles of a set."""
-    for batch in batches:
-        ids, toks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for d, n, lonely, s in zip(batch["doc_id"], batch["n"], batch["lonely"], batch["shingles"], strict=True):
-            most = n - needed(n) + 1 - lonely
-            if most > 0:
-                s = np.frombuffer(s, np.uint64)
-                s = s[np.argsort(mix(s), kind="stable")[:most]]
-                ids.append(np.full(len(s), d))
-                toks.append(s)
-        yield pd.DataFrame({"doc_id": np.concatenate(ids), "shingle": np.concatenate(toks).astype(np.int64)})
+def _prefixes(rows: pd.DataFrame) -> pd.DataFrame:
+    """One part of the classes: of each that may still link the shared ones among the first n - T + 1 of its shingles, those
+    that fewest classes hold first."""
+    d, _, n, tok, held, lo, hi = _gathered(rows)
+    ids, toks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for i in range(len(d)):
+        s, size, t = tok[lo[i] : hi[i]], int(n[i]), int(needed(int(n[i])))
+        if len(s) and len(s) >= t:
+            s = s[np.lexsort((s, held[lo[i] : hi[i]]))[: size - t + 1 - max(size - len(s), 0)]]
+            ids.append(np.full(len(s), d[i]))
+            toks.append(s)
+    return pd.DataFrame({"doc_id": np.concatenate(ids), "shingle": np.concatenate(toks).astype(np.int64)})
 
 
 def divide_skip(ids: np.ndarray, n: np.ndarray, sets: list[np.ndarray], side: np.ndarray, both: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -343,7 +383,7 @@ def _join(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataF
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = even_keys(spark, buckets or BUCKETS_PER_PARTITION * parts, parts)
     lists = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda b: _postings(b, keys), POSTINGS)
-    spread = lists.groupBy("bucket").applyInPandas(lambda p: _shared(p, keys[:parts]), SPREAD)
+    spread = lists.groupBy("bucket").applyInPandas(lambda p: _lookup(p, keys[:parts]), SPREAD)
     found = materialize(spread.groupBy("part").applyInPandas(_documents, DOCS), "join-documents", batch_rows=TEXT_ROWS)
 
     may = found.where("shingles is not null")
@@ -353,9 +393,11 @@ def _join(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataF
     copies = members.where("rep != doc_id").select("doc_id")
     if copies.count() <= BROADCAST_IDS:
         copies = F.broadcast(copies)
-    reps = materialize(may.join(copies, "doc_id", "left_anti").select("doc_id", "n", "lonely", "shingles"), "join-reps")
+    reps = materialize(may.join(copies, "doc_id", "left_anti").select("doc_id", "n", "shingles"), "join-reps")
 
-    first = materialize(reps.mapInPandas(_prefixes, "doc_id long, shingle long"), "join-prefixes")
+    heavy = HEAVY
+    lists = reps.mapInPandas(lambda b: _again(b, keys, heavy), POSTINGS).groupBy("bucket").applyInPandas(lambda p: _lookup(p, keys[:parts]), SPREAD)
+    first = materialize(lists.groupBy("part").applyInPandas(_prefixes, "doc_id long, shingle long"), "join-prefixes", batch_rows=TEXT_ROWS)
     stars = first.groupBy("shingle").agg(F.min("doc_id").alias("a"), F.count("*").alias("k")).where("k > 1").select("shingle", "a")
     near = components(first.join(stars, "shingle").where("doc_id != a").select("a", F.col("doc_id").alias("b")))
     links = _blocks(reps, near).groupBy("_block").applyInPandas(_search, "a long, b long")

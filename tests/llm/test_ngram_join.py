@@ -67,6 +67,7 @@ def test_small_tasks_and_blocks_change_nothing(spark, monkeypatch):
     rows = corpus(7)
     # Tasks run in workers of their own, where only what the closure carries is seen; the block size is the driver's.
     monkeypatch.setattr(nj, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(nj, "HEAVY", 3)
     monkeypatch.setattr(nj, "BROADCAST_CLASSES", 0)
     monkeypatch.setattr(nj, "BROADCAST_IDS", 0)
     assert joined(spark, rows) == brute(rows)
