@@ -16,10 +16,10 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class Machine(StatefulProcessor):
-    """State of a connection in a value that expires after a day without messages, which ends it like a disconnect."""
+    """State of a connection in a value, until the connection's disconnect; expiry by the clock would keep a triggered run from ending."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", T.StructType([T.StructField("value", T.StringType())]), ttlDurationMs=86_400_000)
+        self.state = handle.getValueState("state", T.StructType([T.StructField("value", T.StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state = State.load(self.state.get()[0]) if self.state.exists() else State()
@@ -34,7 +34,7 @@ class Machine(StatefulProcessor):
 def machine(messages: DataFrame) -> DataFrame:
     """Server events of a stream of messages; set spark.sql.streaming.stateStore.providerClass to ``STORE``."""
     named = messages.select(F.col("connection").cast("string").alias("connection"), "seq", "kind", "bytes", "payload")
-    return named.groupBy("connection").transformWithStateInPandas(Machine(), outputStructType=T._parse_datatype_string(EVENTS), outputMode="Append", timeMode="ProcessingTime")
+    return named.groupBy("connection").transformWithStateInPandas(Machine(), outputStructType=T._parse_datatype_string(EVENTS), outputMode="Append", timeMode="None")
 
 
 def joined(frames: DataFrame, starts: DataFrame, within: str = "1 hour") -> DataFrame:
