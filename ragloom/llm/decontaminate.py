@@ -1,39 +1,41 @@
 """Benchmark decontamination by latent semantic retrieval and subsequence checks.
 
-1. Words of the benchmark items are the vocabulary (bounded by the benchmark;
-   a larger benchmark is taken in blocks of ``ITEM_BLOCK`` items). Each
-   document becomes the list of its words' numbers, other words as one number;
-   this table is all that later steps read.
-2. Document frequencies over all passages of all documents give the TF-IDF
-   weights.
-3. Randomised SVD: every task adds up its part of (A'A) Omega, A being the
-   TF-IDF passages of all documents and Omega a random matrix; the vocabulary x
-   ``RANK`` sums, and as many as ``ITEM_RANK`` random combinations of the items'
-   own rows, are orthonormalised: a basis of the leading right singular space
-   that also covers what is searched for. Cosines do not change when a basis is
-   rotated, so the small SVD that would rotate it is left out. What is sent
-   depends on the vocabulary, not on the passages.
-4. All windows of ``WINDOW`` words, ``STRIDE`` apart, of every document are
-   searched: those whose cosine with an item in that space reaches ``COSINE``
-   are candidates. A word's largest part in any item's product bounds a
-   window's cosine from above, which settles most windows with one sum.
+1. Words of the benchmark items are the vocabulary, one for all items (its size
+   is bounded by the benchmark). Each document becomes the list of its words'
+   numbers, other words as one number; this table is all that later steps read.
+2. Document frequencies over all passages (``PASSAGE`` words) of all documents
+   give the TF-IDF weights.
+3. Randomised SVD in one pass: every task adds up its part of Y = (A'A) Omega,
+   A being the TF-IDF passages of all documents and Omega a random matrix of
+   ``RANK`` + ``OVERSAMPLE`` columns. From Omega and Y the driver gets the leading
+   right singular vectors V and values s of A (the Nystrom form of the method).
+   What is sent depends on the vocabulary, not on the passages.
+4. A word's place in the latent space is its row of V / s, at unit length so
+   that a rare word counts as its weight says; a text's is the sum of its
+   words' places by TF-IDF weight. Words outside the vocabulary have no place.
+   All windows of ``2 STRIDE`` words, ``STRIDE`` apart, of every document are
+   compared to all items (one of over ``LONG`` words: to its pieces) by the cosine
+   in that space; from ``COSINE`` on they are candidates.
 5. Around a candidate the longest common subsequence with the item is taken
-   (bit-parallel). A share of ``LCS`` of the item's words is a leak; from
-   ``PARAPHRASE`` on it is one if the answer, the item's last sentence (the last
-   third of an item of one sentence), is there to ``ANSWER``.
+   (bit-parallel) over all stretches of 1.5 times the item's length. A share of
+   ``LCS`` of the item's words is a leak; from ``PARAPHRASE`` on it is one if the
+   answer, the item's last sentence (the last third of an item of one
+   sentence), is there to ``ANSWER``.
 
-Result: a row per document and item that it leaks: doc_id, item_id, cosine,
+Result: a row per document row and item that it leaks: doc_id, item_id, cosine,
 lcs (share), answer (share), kind (copy or paraphrase).
 
 Defined cases: null, empty and word-less texts leak nothing and null items are
-not searched; an item under ``MIN_ITEM`` words must be there word for word;
-rows that repeat give their rows again; other columns are ignored.
+not searched; an item under ``MIN_ITEM`` words must be there word for word, and
+is looked for as such, its cosine given as 1; a very long text is searched whole,
+in memory that grows with that text; of places with one share the first is
+reported; rows that repeat, and rows without doc_id, each give their rows; an
+empty table on either side gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -44,13 +46,13 @@ from pyspark.sql import functions as F
 from ragloom.llm.scratch import materialize
 from ragloom.llm.words import NOT_ALNUM, counts_of, mix, pieces
 
-WINDOW, STRIDE, RANK, ITEM_RANK = 32, 16, 48, 256
-COSINE, LCS, PARAPHRASE, ANSWER = 0.11, 0.75, 0.55, 0.8
-FREQUENT, MIN_ITEM, ITEM_BLOCK = 1 / 64, 8, 500
-#: Items whose bounds are taken together.
-CROWD = 12
-#: Words taken through the dense steps at once.
-PIECE_WORDS = 1 << 16
+PASSAGE, STRIDE, RANK, OVERSAMPLE, LONG = 32, 16, 80, 16, 64
+COSINE, LCS, PARAPHRASE, ANSWER = 0.4, 0.75, 0.55, 0.8
+MIN_ITEM = 8
+#: Items that are searched in one pass over the documents.
+ITEM_BLOCK = 20_000
+#: Words taken through the dense steps at once, and products of windows and items held at once.
+PIECE_WORDS, PRODUCTS = 1 << 16, 1 << 22
 OUT = "doc_id long, item_id long, cosine double, lcs double, answer double, kind string"
 
 
@@ -89,9 +91,9 @@ def _runs(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
 
 
 def _passages(sizes: np.ndarray) -> np.ndarray:
-    """For each word its passage, WINDOW words of one document each."""
-    per = -(-sizes // WINDOW)
-    return np.repeat(np.cumsum(per) - per, sizes) + counts_of(sizes) // WINDOW
+    """For each word its passage, PASSAGE words of one document each."""
+    per = -(-sizes // PASSAGE)
+    return np.repeat(np.cumsum(per) - per, sizes) + counts_of(sizes) // PASSAGE
 
 
 def _frequencies(batches: Iterable[pd.DataFrame], m: int) -> Iterator[pd.DataFrame]:
@@ -102,33 +104,46 @@ def _frequencies(batches: Iterable[pd.DataFrame], m: int) -> Iterator[pd.DataFra
             seen = np.unique(passage * (m + 1) + ids.astype(np.int64))
             df += np.bincount(seen % (m + 1), minlength=m + 1)
             passages += int(passage[-1]) + 1
-    yield pd.DataFrame({"at": np.arange(m + 1), "df": np.append(df[:m], passages)})
+    df[m] = passages
+    at = np.flatnonzero(df)
+    yield pd.DataFrame({"at": at, "df": df[at]})
 
 
-def _gram(ids: np.ndarray, passage: np.ndarray, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
-    """A'A omega for the passages of these words (only words of the vocabulary)."""
-    m = len(omega)
-    inside = (ids < m) & (idf[ids] > 0)
+def _gram(ids: np.ndarray, passage: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of these passages and their rows of A'A Omega before a word's own weight; omega: rows by weight."""
+    inside = ids < len(omega)
     ids, passage = ids[inside], passage[inside]
     if not len(ids):
-        return np.zeros_like(omega)
-    weight = idf[ids].astype(np.float32)[:, None]
+        return ids, np.zeros((0, omega.shape[1]))
     edge = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-    y = np.add.reduceat(omega[ids] * weight, edge, axis=0)
-    back = y[np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(ids))))] * weight
+    y = np.add.reduceat(omega[ids], edge, axis=0)
+    at = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(ids))))
     by = np.argsort(ids, kind="stable")
     heads, first = np.unique(ids[by], return_index=True)
-    out = np.zeros_like(omega)
-    out[heads] = np.add.reduceat(back[by], first, axis=0)
-    return out
+    return heads, np.add.reduceat(y[at[by]], first, axis=0)
 
 
-def _range(batches: Iterable[pd.DataFrame], idf: np.ndarray, omega: np.ndarray) -> Iterator[pd.DataFrame]:
+def _range(batches: Iterable[pd.DataFrame], omega: np.ndarray) -> Iterator[pd.DataFrame]:
     z = np.zeros(omega.shape, np.float64)
     for batch in batches:
         for ids, sizes, _ in _runs(batch):
-            z += _gram(ids, _passages(sizes), idf, omega)
-    yield pd.DataFrame({"slice": np.arange(len(z)), "z": list(z)})
+            heads, rows = _gram(ids, _passages(sizes), omega)
+            z[heads] += rows
+    at = np.flatnonzero(z.any(axis=1))
+    yield pd.DataFrame({"at": at, "z": pd.Series(list(z[at]), dtype=object)})
+
+
+def latent(omega: np.ndarray, y: np.ndarray, rank: int) -> np.ndarray:
+    """Places of words at unit length, from Omega and Y = (A'A) Omega; 0 for words of no passage."""
+    shift = np.finfo(np.float64).eps * max(np.linalg.norm(y), 1e-300)
+    core = omega.T @ (y + shift * omega)
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    held = values > values[-1] * 1e-12
+    v, s, _ = np.linalg.svd((y @ vectors[:, held]) / np.sqrt(values[held]), full_matrices=False)
+    held = np.flatnonzero(s[:rank] > s[:1].max(initial=0) * 1e-9)  # s[0] is the largest
+    places = v[:, held] / s[held]
+    places[~y.any(axis=1)] = 0
+    return (places / np.maximum(np.linalg.norm(places, axis=1), 1e-300)[:, None]).astype(np.float32)
 
 
 def lcs_bits(item: list[int], text: Iterable[int]) -> int:
@@ -178,137 +193,160 @@ def judge(item: list[int], answer: int, region: list[int]) -> tuple[float, float
     return share, got, "paraphrase" if got >= ANSWER else None
 
 
-def _search(batches: Iterable[pd.DataFrame], names: list[int], item_ids: list[np.ndarray], answers: list[int], idf: np.ndarray, basis: np.ndarray, cosine: float) -> Iterator[pd.DataFrame]:
-    m = len(basis)
-    weighted = basis * idf[:m, None].astype(np.float32)
-    q = np.stack([weighted[i].sum(axis=0) for i in item_ids])
-    q /= np.maximum(np.linalg.norm(q, axis=1), 1e-9)[:, None]
-    # A word's part in the product of a window with each item, and the most it can be for any item.
-    part = np.concatenate([weighted @ q.T, np.zeros((1, len(q)), np.float32)])
-    most = np.maximum(part.max(axis=1), 0).astype(np.float64)
-    crowd = np.maximum.reduceat(part, np.arange(0, len(q), CROWD), axis=1)
-    square = idf**2
+class _Windows:
+    """Windows of a run: document, words from lo to hi, and unit vector (0 where no word has a place)."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray):
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        per = -(-sizes // STRIDE)
+        first = np.cumsum(per) - per
+        block = np.repeat(first, sizes) + counts_of(sizes) // STRIDE
+        inside = np.flatnonzero(ids < len(places))
+        sums = np.zeros((int(per.sum()) + 1, places.shape[1]), np.float32)
+        if len(inside):
+            at = block[inside]
+            edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            sums[at[edge]] = np.add.reduceat(places[ids[inside]], edge, axis=0)
+        windows = np.maximum(per - 1, 1)
+        self.doc = np.repeat(np.arange(len(sizes)), windows)
+        step = counts_of(windows)
+        self.lo = begin[self.doc] + step * STRIDE
+        self.hi = np.minimum(self.lo + 2 * STRIDE, begin[self.doc + 1])
+        at = first[self.doc] + step
+        self.vector = sums[at] + np.where((per[self.doc] > 1)[:, None], sums[at + 1], np.float32(0))
+        self.vector /= np.maximum(np.linalg.norm(self.vector, axis=1), 1e-9)[:, None]
+
+
+def _queries(item_ids: list[np.ndarray], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items as unit vectors, one of over LONG words as one for each LONG words, LONG / 2 apart; and whose each is."""
+    vectors, owner = [], []
+    for t, ids in enumerate(item_ids):
+        if len(ids) >= MIN_ITEM:
+            for a in range(0, max(len(ids) - LONG // 2, 1), LONG // 2) if len(ids) > LONG else [0]:
+                vectors.append(places[ids[a : a + LONG]].sum(axis=0))
+                owner.append(t)
+    q = np.stack(vectors) if vectors else np.zeros((0, places.shape[1]), np.float32)
+    return q / np.maximum(np.linalg.norm(q, axis=1), 1e-9)[:, None], np.array(owner, np.int64)
+
+
+def _enough(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, t: np.ndarray, keys: np.ndarray, m: int, least: np.ndarray) -> np.ndarray:
+    """Which of the regions lo..hi hold ``least`` words of item t at least; keys: sorted t * (m + 1) + word."""
+    out = np.zeros(len(lo), bool)
+    step = max(1, PRODUCTS // int((hi - lo).max(initial=1)))
+    for a in range(0, len(lo), step):
+        size = (hi - lo)[a : a + step]
+        of = np.repeat(np.arange(len(size)), size)
+        want = t[a : a + step][of] * (m + 1) + ids[lo[a : a + step][of] + counts_of(size)]
+        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        out[a : a + step] = np.bincount(of, weights=keys[at] == want, minlength=len(size)) >= least[a : a + step]
+    return out
+
+
+def _settle(item: list[int], answer: int, region: np.ndarray) -> tuple[float, float, str] | None:
+    """The best leak of item in any stretch of region of 1.5 times its length (at least 16 words more), None if there is none."""
+    n = len(item)
+    reach = min(max(n + 16, n * 3 // 2), len(region))
+    belongs = np.isin(region, item)
+    hits = np.concatenate([[0], np.cumsum(belongs)])
+    starts = np.flatnonzero(belongs[: len(region) - reach + 1])
+    starts = np.unique(np.append(starts, len(region) - reach))
+    inside = hits[starts + reach] - hits[starts]
+    best = None
+    for at in np.lexsort((starts, -inside)):
+        most = min(inside[at] / n, 1.0)  # no subsequence is longer than this
+        if most < PARAPHRASE or (best and most <= best[0]):
+            break
+        share, got, kind = judge(item, answer, region[starts[at] : starts[at] + reach].tolist())
+        if kind and (best is None or share > best[0]):
+            best = (share, got, kind)
+    return best
+
+
+def _verbatim(ids: np.ndarray, doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Documents of a run that hold item word for word."""
+    last = len(ids) - len(item) + 1
+    at = np.flatnonzero(ids[: max(last, 0)] == item[0])
+    for j in range(1, len(item)):
+        at = at[ids[at + j] == item[j]]
+    return np.unique(doc[at[doc[at] == doc[at + len(item) - 1]]])
+
+
+def _search(batches: Iterable[pd.DataFrame], names: list[int], item_ids: list[np.ndarray], answers: list[int], places: np.ndarray, cosine: float) -> Iterator[pd.DataFrame]:
+    m = len(places)
+    q, of_item = _queries(item_ids, places)
     items = [i.tolist() for i in item_ids]
-    counts = [Counter(i) for i in items]
-    belongs = np.zeros((len(items), m + 1), bool)
-    for t, i in enumerate(item_ids):
-        belongs[t, i] = True
-    crowd = np.maximum.reduceat(part, np.arange(0, len(q), CROWD), axis=1)
-    square = idf**2
+    lengths = np.array([len(i) for i in item_ids])
+    keys = np.unique(np.concatenate([t * (m + 1) + i.astype(np.int64) for t, i in enumerate(item_ids)]))
+    short = [t for t, i in enumerate(items) if len(i) < MIN_ITEM]
+    step = max(1, PRODUCTS // max(len(q), 1))
     for batch in batches:
-        best: dict[tuple, tuple] = {}
-        done: set[tuple] = set()
+        out: list[tuple] = []
         for ids, sizes, docs in _runs(batch):
             begin = np.concatenate([[0], np.cumsum(sizes)])
-            windows = np.maximum(-(-(sizes - WINDOW) // STRIDE), 0) + 1
-            owner = np.repeat(np.arange(len(sizes)), windows)
-            lo = begin[owner] + counts_of(windows) * STRIDE
-            hi = np.minimum(lo + WINDOW, begin[owner + 1])
-            energy = np.concatenate([[0.0], np.cumsum(square[ids])])
-            reach = np.concatenate([[0.0], np.cumsum(most[ids])])
-            least = np.sqrt(energy[hi] - energy[lo])  # a window's length if no word came twice
-            may = np.flatnonzero(reach[hi] - reach[lo] >= np.maximum(cosine * least, 1e-9))  # no item is nearer than this bound
-            for a in range(0, len(may), 1024):
-                some = may[a : a + 1024]
-                some = some[(_sums(crowd, ids, lo[some], hi[some]) >= cosine * least[some, None]).any(axis=1)]  # the same bound for 12 items or so at once
-                if not len(some):
-                    continue
-                w_lo, w_hi, own = lo[some], hi[some], owner[some]
-                near = _sums(part, ids, w_lo, w_hi) / _lengths(ids, w_lo, w_hi, square)[:, None]
-                for w, t in zip(*np.nonzero(near >= cosine), strict=True):
-                    d = int(own[w])
-                    around = len(items[t]) + WINDOW // 2
-                    first, last = max(int(begin[d]), int(w_lo[w]) - around), min(int(begin[d + 1]), int(w_hi[w]) + around)
-                    key = (docs[d], d, int(t))
-                    if (*key, first) in done:
-                        continue
-                    done.add((*key, first))
-                    region = _densest(ids[first:last], belongs[t], len(items[t]))
-                    if region is None or sum(map(counts[t].get, set(region) & counts[t].keys())) < PARAPHRASE * len(items[t]):
-                        continue  # no subsequence can be longer than the occurrences in the item of the words that both have
-                    share, got, kind = judge(items[t], answers[t], region)
-                    if kind and (key not in best or share > best[key][3]):
-                        best[key] = (docs[d], names[t], float(near[w, t]), share, got, kind)
-            done.clear()
-        out = pd.DataFrame(list(best.values()), columns=["doc_id", "item_id", "cosine", "lcs", "answer", "kind"])
-        yield out.astype({"doc_id": "Int64"})
-
-
-def _words(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of windows one after the other, and how many each has."""
-    size = hi - lo
-    return ids[np.repeat(lo, size) + counts_of(size)], size
-
-
-def _sums(rows: np.ndarray, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Per window the sum of its words' rows; the last row, of words outside the vocabulary, is 0. Each window has one inside."""
-    words, size = _words(ids, lo, hi)
-    inside = words < len(rows) - 1
-    edge = np.searchsorted(np.flatnonzero(inside), np.cumsum(size) - size)
-    return np.add.reduceat(rows[words[inside]], edge, axis=0)
-
-
-def _lengths(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, square: np.ndarray) -> np.ndarray:
-    """TF-IDF lengths of windows."""
-    words, size = _words(ids, lo, hi)
-    key, count = np.unique(np.repeat(np.arange(len(size)), size) * len(square) + words.astype(np.int64), return_counts=True)
-    return np.sqrt(np.bincount(key // len(square), weights=count**2 * square[key % len(square)], minlength=len(size))).astype(np.float32)
-
-
-def _densest(region: np.ndarray, belongs: np.ndarray, n: int) -> list[int] | None:
-    """The stretch of 1.5 times the item's length (at least 16 words more) with most of its words; None if those are too
-    few for any leak."""
-    reach = min(max(n + 16, n * 3 // 2), len(region))
-    hits = np.zeros(len(region) + 1, np.int64)
-    np.cumsum(belongs[region], out=hits[1:])
-    inside = hits[reach:] - hits[: len(hits) - reach]
-    at = int(inside.argmax())
-    return region[at : at + reach].tolist() if inside[at] >= PARAPHRASE * n else None
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK) -> DataFrame:
-    """docs (doc_id, text) against benchmark (item_id, text)."""
-    spark = docs.sparkSession
-    size = benchmark.count()
-    found = None
-    blocks = -(-size // ITEM_BLOCK)
-    for b in range(blocks):
-        mine = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else benchmark
-        out = _leaks(docs, Items([(r[0], r[1]) for r in mine.select("item_id", "text").collect()]), cosine, rank)
-        found = out if found is None else found.unionByName(out)
-    return found if found is not None else spark.createDataFrame([], OUT)
+            if short:
+                doc_of = np.repeat(np.arange(len(sizes)), sizes)
+                out += [(docs[d], names[t], 1.0, 1.0, 1.0, "copy") for t in short for d in _verbatim(ids, doc_of, item_ids[t])]
+            w = _Windows(ids, sizes, places)
+            near = []
+            for a in range(0, len(w.doc), step):
+                product = w.vector[a : a + step] @ q.T
+                i, j = np.nonzero(product >= cosine)
+                around = lengths[of_item[j]] + STRIDE
+                lo, hi = np.maximum(begin[w.doc[a + i]], w.lo[a + i] - around), np.minimum(begin[w.doc[a + i] + 1], w.hi[a + i] + around)
+                ok = _enough(ids, lo, hi, of_item[j], keys, m, PARAPHRASE * lengths[of_item[j]])
+                near.append(np.rec.fromarrays([w.doc[a + i][ok], of_item[j][ok], lo[ok], hi[ok], product[i, j][ok]], names="d,t,lo,hi,c"))
+            found = np.concatenate(near)
+            found = found[np.lexsort((found["lo"], found["t"], found["d"]))]
+            # Regions of one document and item that overlap are one region.
+            same = np.append(False, (found["d"][1:] == found["d"][:-1]) & (found["t"][1:] == found["t"][:-1])) if len(found) else np.zeros(0, bool)
+            best: dict[tuple[int, int], tuple] = {}
+            k = 0
+            while k < len(found):
+                e, hi = k + 1, found["hi"][k]
+                while e < len(found) and same[e] and found["lo"][e] <= hi:
+                    hi, e = max(hi, found["hi"][e]), e + 1
+                d, t = int(found["d"][k]), int(found["t"][k])
+                got = _settle(items[t], answers[t], ids[found["lo"][k] : hi])
+                if got and ((d, t) not in best or got[0] > best[d, t][1]):
+                    best[d, t] = (float(found["c"][k:e].max()), *got)
+                k = e
+            out += [(docs[d], names[t], *v) for (d, t), v in best.items()]
+        yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "lcs", "answer", "kind"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
 
 def _random(n: int, k: int) -> np.ndarray:
-    return (mix(np.arange(1, n * k + 1, dtype=np.uint64)).astype(np.float64) / 2**63 - 1).astype(np.float32).reshape(n, k)
+    return (mix(np.arange(1, n * k + 1, dtype=np.uint64)).astype(np.float64) / 2**63 - 1).reshape(n, k)
 
 
-def _leaks(docs: DataFrame, items: Items, cosine: float, rank: int) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK) -> DataFrame:
+    """docs (doc_id, text) against benchmark (item_id, text), whose items the driver and each task hold."""
     spark = docs.sparkSession
+    items = Items([(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), "text").collect()])
     if not len(items):
         return spark.createDataFrame([], OUT)
     vocabulary, m = items.vocabulary, len(items.vocabulary)
     lists = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda b: encode(b, vocabulary), "doc_id long, n long, ids binary"), "decontaminate-words", batch_rows=1000)
 
-    counted = lists.mapInPandas(lambda b: _frequencies(b, m), "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).orderBy("at").toPandas()  # a row per word of the items
-    df = counted["df"].to_numpy(np.float64) if len(counted) else np.zeros(m + 1)
-    passages = df[m]
-    idf = np.append(np.log((passages + 1) / (df[:m] + 1)) + 1, np.log(passages + 1) + 1)
-
-    l = min(rank, m)
-    omega = _random(m, l)
-    # Words of so many passages that they tell little apart are left out of the sum over passages, not of the search.
-    sketched = np.where(np.append(df[:m], 0) > FREQUENT * passages, 0.0, idf)
-    parts = lists.mapInPandas(lambda b: _range(b, sketched, omega), "slice long, z array<double>")
-    sums = parts.groupBy("slice").agg(*(F.sum(F.col("z")[j]).alias(f"z{j}") for j in range(l))).orderBy("slice").toPandas()  # vocabulary x rank
-    z = sums.drop(columns="slice").to_numpy(np.float64) if len(sums) else np.zeros((m, l))
-    rows = np.zeros((len(items), m))
-    for i, words in enumerate(items.ids):
-        np.add.at(rows[i], words, idf[words])
-    own = rows.T if len(items) <= ITEM_RANK else rows.T @ _random(len(items), ITEM_RANK)
-    basis = np.linalg.qr(np.concatenate([own / np.abs(own).max(), z / max(np.abs(z).max(), 1e-9)], axis=1))[0].astype(np.float32)
-    names, ids, answers = [i for i, _, _ in items.rows], items.ids, [a for _, _, a in items.rows]
-    return lists.mapInPandas(lambda b: _search(b, names, ids, answers, idf, basis, cosine), OUT)
+    df = np.zeros(m + 1)
+    for at, k in lists.mapInPandas(lambda b: _frequencies(b, m), "at long, df long").groupBy("at").agg(F.sum("df")).collect():  # a row per word of the items
+        df[at] = k
+    idf = np.log((df[m] + 1) / (df[:m] + 1)) + 1
+
+    columns = min(rank + OVERSAMPLE, m)
+    omega = _random(m, columns)
+    weighted = (omega * idf[:, None]).astype(np.float32)
+    parts = lists.mapInPandas(lambda b: _range(b, weighted), "at long, z array<double>")
+    y = np.zeros((m, columns))
+    for at, *z in parts.groupBy("at").agg(*(F.sum(F.col("z")[j]).alias(f"z{j}") for j in range(columns))).collect():  # vocabulary x columns
+        y[at] = z
+    places = latent(omega, y * idf[:, None], rank) * idf[:, None].astype(np.float32)
+    found = None
+    for a in range(0, len(items), ITEM_BLOCK):
+        block = items.rows[a : a + ITEM_BLOCK]
+        names, ids, answers = [i for i, _, _ in block], items.ids[a : a + ITEM_BLOCK], [x for _, _, x in block]
+        out = lists.mapInPandas(lambda b, names=names, ids=ids, answers=answers: _search(b, names, ids, answers, places, cosine), OUT)
+        found = out if found is None else found.unionByName(out)
+    return found
 
 
 #: Leaking ids that are sent to every executor (8 bytes each); beyond, a shuffled anti join.
