@@ -229,17 +229,29 @@ def _queries(item_ids: list[np.ndarray], places: np.ndarray) -> tuple[np.ndarray
     return q / np.maximum(np.linalg.norm(q, axis=1), 1e-9)[:, None], np.array(owner, np.int64)
 
 
-def _enough(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, t: np.ndarray, keys: np.ndarray, m: int, least: np.ndarray) -> np.ndarray:
-    """Which of the regions lo..hi hold ``least`` words of item t at least; keys: sorted t * (m + 1) + word."""
-    out = np.zeros(len(lo), bool)
-    step = max(1, PRODUCTS // int((hi - lo).max(initial=1)))
-    for a in range(0, len(lo), step):
-        size = (hi - lo)[a : a + step]
-        of = np.repeat(np.arange(len(size)), size)
-        want = t[a : a + step][of] * (m + 1) + ids[lo[a : a + step][of] + counts_of(size)]
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        out[a : a + step] = np.bincount(of, weights=keys[at] == want, minlength=len(size)) >= least[a : a + step]
-    return out
+class _Bags:
+    """How many of an item's words a region can have at most in common with it."""
+
+    def __init__(self, item_ids: list[np.ndarray], m: int):
+        self.m = m
+        each = [np.unique(i, return_counts=True) for i in item_ids]
+        self.keys = np.concatenate([t * (m + 1) + i.astype(np.int64) for t, (i, _) in enumerate(each)])  # ascending
+        self.times = np.concatenate([k for _, k in each])
+
+    def enough(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, t: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which of the regions lo..hi have ``least`` words in common with item t at least."""
+        out = np.zeros(len(lo), bool)
+        step = max(1, PRODUCTS // int((hi - lo).max(initial=1)))
+        for a in range(0, len(lo), step):
+            size, need = (hi - lo)[a : a + step], least[a : a + step]
+            of = np.repeat(np.arange(len(size)), size)
+            want = t[a : a + step][of] * (self.m + 1) + ids[lo[a : a + step][of] + counts_of(size)]
+            at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+            hit = self.keys[at] == want
+            hit &= (np.bincount(of, weights=hit, minlength=len(size)) >= need)[of]  # with words as often as they come
+            both, count = np.unique(of[hit] * len(self.keys) + at[hit], return_counts=True)
+            out[a : a + step] = np.bincount(both // len(self.keys), weights=np.minimum(count, self.times[both % len(self.keys)]), minlength=len(size)) >= need
+        return out
 
 
 def _settle(item: list[int], answer: int, region: np.ndarray) -> tuple[float, float, str] | None:
@@ -276,7 +288,7 @@ def _search(batches: Iterable[pd.DataFrame], names: list[int], item_ids: list[np
     q, of_item = _queries(item_ids, places)
     items = [i.tolist() for i in item_ids]
     lengths = np.array([len(i) for i in item_ids])
-    keys = np.unique(np.concatenate([t * (m + 1) + i.astype(np.int64) for t, i in enumerate(item_ids)]))
+    bags = _Bags(item_ids, m)
     short = [t for t, i in enumerate(items) if len(i) < MIN_ITEM]
     step = max(1, PRODUCTS // max(len(q), 1))
     for batch in batches:
@@ -293,7 +305,7 @@ def _search(batches: Iterable[pd.DataFrame], names: list[int], item_ids: list[np
                 i, j = np.nonzero(product >= cosine)
                 around = lengths[of_item[j]] + STRIDE
                 lo, hi = np.maximum(begin[w.doc[a + i]], w.lo[a + i] - around), np.minimum(begin[w.doc[a + i] + 1], w.hi[a + i] + around)
-                ok = _enough(ids, lo, hi, of_item[j], keys, m, PARAPHRASE * lengths[of_item[j]])
+                ok = bags.enough(ids, lo, hi, of_item[j], PARAPHRASE * lengths[of_item[j]])
                 near.append(np.rec.fromarrays([w.doc[a + i][ok], of_item[j][ok], lo[ok], hi[ok], product[i, j][ok]], names="d,t,lo,hi,c"))
             found = np.concatenate(near)
             found = found[np.lexsort((found["lo"], found["t"], found["d"]))]
