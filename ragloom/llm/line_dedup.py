@@ -1,20 +1,22 @@
 """Line dedup by site-relative frequency, in DataFrame functions only.
 
 Pages are grouped by host. A line's frequency is the number of the host's
-pages that contain it, each page counted once, divided by all pages of the
-host; lines above ``RATIO`` on at least ``MIN_PAGES`` pages are boilerplate and
-are dropped from every page of that host. A page of whose characters more than
-``MOST`` would go is a copy of other pages rather than a page with boilerplate;
-it is kept whole, for deduplication of documents to settle.
-
-Only (host, two 64-bit hashes of the line) is shuffled, counted before the
-shuffle; texts stay where they are read. The boilerplate lines of a host are
-at most (mean lines a page) / RATIO, so a host's list is small however many
-pages it has.
-
-Defined cases: null text stays null with 0 lines; a null host is a host of its
-own; lines without a word are never boilerplate and stay; rows that repeat
-are pages of their own; other columns pass unchanged.
+pages that contain it divided by all pages of the host. Pages of a host with
+equal text are one page in both numbers, so copies of a page don't make its
+lines a part of the site. Lines that repeat on pages and whose frequency is
+above ``RATIO`` are boilerplate and are dropped from every page of that host.
+
+Only hashes are shuffled, (host, two of the line, one of the page), counted
+before the shuffle. The boilerplate lines of a host are at most (mean lines a
+page) / RATIO, so a host's list is small however many pages it has. Texts stay
+where they are read up to ``BROADCAST_LINES`` boilerplate lines in all; beyond,
+they are dealt once by host and salt to the lists.
+
+Defined cases: null text is no page and stays null with 0 lines; a null host is
+a host of its own; empty texts and lines without a word stay as they are; a
+frequency equal to the ratio stays; rows that repeat are one page, and each row
+is cleaned; a very long text is split whole, in memory that grows with it; an
+empty table gives none; other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from ragloom.llm.scratch import materialize
 from ragloom.llm.skew import attach
 
-RATIO, MIN_PAGES, MOST = 0.02, 5, 0.5
+RATIO = 0.05
 #: Boilerplate lines (16 bytes each) that are sent to every executor; beyond, a salted join by host.
 BROADCAST_LINES = 200_000
 
@@ -38,29 +40,28 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
 
 
-def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """One row per host with boilerplate: _host, _lines (array of line keys)."""
-    named = pages.select(F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("_host"), F.col(text).alias("_text"))
-    totals = named.groupBy("_host").agg(F.count("*").alias("_pages"))
+def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO) -> DataFrame:
+    """A row per boilerplate line: _host, a, b (the line's key)."""
+    named = pages.select(_host(host), F.col(text).alias("_text")).where("_text is not null").withColumn("_page", F.xxhash64("_text"))
+    totals = named.groupBy("_host").agg(F.count_distinct("_page").alias("_pages"))
     keys = F.array_distinct(F.transform(F.filter(F.split("_text", "\n", -1), _wordy), _key))
-    seen = named.select("_host", F.explode(keys).alias("_k")).groupBy("_host", "_k.a", "_k.b").agg(F.count("*").alias("_with")).where(F.col("_with") >= min_pages)
-    common = seen.join(totals, "_host").where(F.col("_with") > F.col("_pages") * F.lit(ratio))
-    return common.groupBy("_host").agg(F.collect_list(F.struct("a", "b")).alias("_lines"))
+    seen = named.select("_host", "_page", F.explode(keys).alias("_k")).groupBy("_host", "_k.a", "_k.b").agg(F.count_distinct("_page").alias("_with"))
+    return seen.where("_with > 1").join(totals, "_host").where(F.col("_with") > F.col("_pages") * F.lit(ratio)).select("_host", "a", "b")
 
 
-def drop_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, most: float = MOST) -> DataFrame:
+def _host(host: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("_host")
+
+
+def drop_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO) -> DataFrame:
     """pages with ``text`` cleaned, and _n_lines and _n_dropped (long)."""
-    found = materialize(boilerplate(pages, host, text, ratio, min_pages), "line-dedup")
-    size = found.agg(F.sum(F.size("_lines"))).first()[0] or 0
-    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("_row"), F.col(text).alias("_text"), F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("_host"))
-    with_lines = attach(rows, found, ["_host"], size, BROADCAST_LINES, ["_text"])
+    common = materialize(boilerplate(pages, host, text, ratio), "line-dedup")
+    found = common.groupBy("_host").agg(F.collect_list(F.struct("a", "b")).alias("_lines"))
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("_row"), F.col(text).alias("_text"), _host(host))
+    with_lines = attach(rows, found, ["_host"], common.count(), BROADCAST_LINES, ["_text"])
     lines = F.when(F.col("_text").isNotNull(), F.split("_text", "\n", -1)).otherwise(F.array().cast("array<string>"))
-    chars = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    kept = F.filter(lines, lambda x: ~(_wordy(x) & F.array_contains("_lines", _key(x))))
-    cut = F.when(F.col("_lines").isNull(), lines).otherwise(
-        F.transform(F.array(kept), lambda k: F.when(chars(lines) - chars(k) > F.lit(most) * chars(lines), lines).otherwise(k))[0]
-    )
-    done = with_lines.withColumn("_cut", F.struct(F.size(lines).cast("long").alias("n"), cut.alias("kept")))
+    kept = F.when(F.col("_lines").isNull(), lines).otherwise(F.filter(lines, lambda x: ~(_wordy(x) & F.array_contains("_lines", _key(x)))))
+    done = with_lines.withColumn("_cut", F.struct(F.size(lines).cast("long").alias("n"), kept.alias("kept")))
     dropped = F.col("_cut.n") - F.size("_cut.kept")
     cleaned = F.when(dropped > 0, F.array_join("_cut.kept", "\n")).otherwise(F.col("_text"))
     out = [cleaned.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in pages.columns]

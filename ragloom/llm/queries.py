@@ -121,13 +121,12 @@ ORACLE = {
             CASE WHEN payload_bytes >= {warc_zip.MIN_REVISIT} AND page_id <> first_page THEN first_page END AS refers_to FROM f""",
     "op9_line_dedup": rf"""
         WITH l AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-        x AS (SELECT source, unnest(list_distinct(list_filter(lines, lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')))) AS line FROM l),
-        n AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+        x AS (SELECT source, text, unnest(list_distinct(list_filter(lines, lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')))) AS line FROM l),
+        n AS (SELECT source, count(DISTINCT text) AS pages FROM documents GROUP BY source),
         c AS (SELECT x.source, line FROM x JOIN n ON x.source IS NOT DISTINCT FROM n.source GROUP BY x.source, line, pages
-            HAVING count(*) >= {line_dedup.MIN_PAGES} AND count(*) > pages * {line_dedup.RATIO}::DOUBLE),
+            HAVING count(DISTINCT text) > 1 AND count(DISTINCT text) > pages * {line_dedup.RATIO}::DOUBLE),
         b AS (SELECT source, list(line) AS common FROM c GROUP BY source),
-        k AS (SELECT doc_id, l.source, text, lines, CASE WHEN common IS NULL THEN lines ELSE list_filter(lines, lambda s: NOT list_contains(common, s)) END AS kept FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source),
-        z AS (SELECT doc_id, source, text, lines, CASE WHEN length(array_to_string(lines, '')) - length(array_to_string(kept, '')) > {line_dedup.MOST} * length(array_to_string(lines, '')) THEN lines ELSE kept END AS kept FROM k)
+        z AS (SELECT doc_id, l.source, text, lines, CASE WHEN common IS NULL THEN lines ELSE list_filter(lines, lambda s: NOT list_contains(common, s)) END AS kept FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source)
         SELECT doc_id, source, CASE WHEN len(kept) < len(lines) THEN array_to_string(kept, chr(10)) ELSE text END AS text,
             coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(len(lines) - len(kept), 0)::BIGINT AS n_dropped FROM z""",
 }

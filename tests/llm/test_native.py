@@ -114,20 +114,18 @@ def test_long_text(spark):
     assert (r["n_words"], r["n_repeat_words"]) == (200_009, 18)
 
 
-def drop(rows, ratio, min_pages, most):
+def drop(rows, ratio):
     """Line dedup by loops; rows: (host, text)."""
     wordy = lambda x: re.search(f"[^{SPACE}]", x)
     pages, has = {}, {}
-    for h, t in rows:
+    for h, t in {(h, t) for h, t in rows if t is not None}:
         pages[h] = pages.get(h, 0) + 1
-        for x in {x for x in (t or "").split("\n") if wordy(x)} if t is not None else ():
+        for x in {x for x in t.split("\n") if wordy(x)}:
             has[h, x] = has.get((h, x), 0) + 1
     out = []
     for h, t in rows:
         lines = [] if t is None else t.split("\n")
-        kept = [x for x in lines if not (wordy(x) and has[h, x] >= min_pages and has[h, x] > ratio * pages[h])]
-        if sum(map(len, lines)) - sum(map(len, kept)) > most * sum(map(len, lines)):
-            kept = lines
+        kept = [x for x in lines if not (wordy(x) and has[h, x] > 1 and has[h, x] > ratio * pages[h])]
         out.append((t if len(kept) == len(lines) else "\n".join(kept), len(lines), len(lines) - len(kept)))
     return out
 
@@ -136,14 +134,21 @@ def test_lines_equal_a_loop(spark, monkeypatch):
     rng = random.Random(8)
     pool = ["menu", "footer text", "", " ", "ünïcode line"] + [f"only {i} is here with more words" for i in range(400)]
     rows = [(rng.choice(["a", "b", None]), None if i % 17 == 0 else "\n".join(rng.choice(pool[:5] if rng.random() < 0.3 else pool) for _ in range(rng.randint(1, 12)))) for i in range(200)]
-    rows += rows[:20]
+    rows += rows[:20] + [("c", "alone\non its host"), ("a", "menu\n" * 30_000)]
     df = spark.createDataFrame([(i, *r, "x", 1) for i, r in enumerate(rows)], "doc_id long, source string, text string, lines string, _host int")
-    want = drop(rows, 0.05, 3, 0.5)
-    for most in (200_000, 0):
-        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
-        got = {r["doc_id"]: r for r in line_dedup.drop_lines(df.drop("_host"), ratio=0.05, min_pages=3).collect()}
-        assert [(got[i]["text"], got[i]["_n_lines"], got[i]["_n_dropped"]) for i in range(len(rows))] == want
-    assert any(w[2] for w in want)
+    for ratio in (0.02, 0.05, 0.4):
+        want = drop(rows, ratio)
+        for most in (200_000, 0):
+            monkeypatch.setattr(line_dedup, "BROADCAST_LINES", most)
+            got = {r["doc_id"]: r for r in line_dedup.drop_lines(df.drop("_host"), ratio=ratio).collect()}
+            assert [(got[i]["text"], got[i]["_n_lines"], got[i]["_n_dropped"]) for i in range(len(rows))] == want
+        assert any(w[2] for w in want)
+
+
+def test_a_frequency_equal_to_the_ratio_stays(spark):
+    rows = [(i, "s", f"own {i}" + "\nfive" * (i < 5) + "\nsix" * (i < 6)) for i in range(100)]
+    out = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, source string, text string"), ratio=0.05)
+    assert out.where("text like '%five%'").count() == 5 and out.where("text like '%six%'").count() == 0
 
 
 def test_clean_keeps_columns(spark):
