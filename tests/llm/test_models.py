@@ -1,13 +1,14 @@
 """Toxicity, decontamination, the pipeline."""
 
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from ragloom.llm import decontaminate, quality, queries, toxicity
+from ragloom.llm import decontaminate, line_dedup, mixing, quality, queries, toxicity
 from tests.llm.test_native import drop
 from tests.llm.test_ngram_join import brute
 
@@ -147,20 +148,90 @@ def test_item_blocks_and_empty_tables(spark, monkeypatch):
     assert decontaminate.leaks(df, bench.where("item_id < 0")).count() == 0 and decontaminate.keep_clean(df, bench.where("item_id < 0")).count() == 30
 
 
+def test_latent_space_decides_and_rows_repeat(spark):
+    rng = random.Random(12)
+    text, items = _bench(rng)
+    rows = [(1 if k % 3 else None, text(60) + " " + t + " " + text(60)) for k, t in items] + [(2, text(300)) for _ in range(300)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.leaks(df, bench).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in found) == sorted((1 if k % 3 else 0, k) for k, _ in items)
+    words = [w.split() for _, w in items]
+    flat = np.unique(np.concatenate([decontaminate.Items(items).rows[k][1] for k in range(30)]))
+    assert len(flat) > 100 and len(words) == 30
+    at = lambda rank: {(r["doc_id"], r["item_id"]): round(r["cosine"], 3) for r in decontaminate.leaks(df, bench, rank=rank, cosine=-1.0).collect()}
+    assert at(1) != at(decontaminate.RANK)
+
+
+def test_singular_vectors_equal_numpy():
+    rng = np.random.default_rng(0)
+    a = rng.standard_normal((400, 6)) @ rng.standard_normal((6, 40))  # rank 6
+    a[:, 7] = 0
+    omega = rng.standard_normal((40, 16))
+    places = decontaminate.latent(omega, a.T @ a @ omega, 6)
+    v, s = np.linalg.svd(a, full_matrices=False)[2][:6].T, np.linalg.svd(a)[1][:6]
+    want = v / s
+    want /= np.maximum(np.linalg.norm(want, axis=1), 1e-12)[:, None]
+    want[7] = 0
+    assert np.allclose(places @ places.T, want @ want.T, atol=1e-3)  # equal up to a rotation
+
+
+def test_longer_stretch_beside_a_denser_one():
+    item = list(range(100, 140))
+    scrambled = item[::-1]
+    region = np.array(scrambled + [0] * 60 + [x if i % 5 else 1 for i, x in enumerate(item)], np.uint32)
+    share, got, kind = decontaminate._settle(item, 10, region)
+    assert kind == "copy" and share == 0.8
+
+
+def test_short_and_long_items(spark):
+    rng = random.Random(13)
+    text, _ = _bench(rng)
+    tiny, huge = "zorgle blip wumpus", text(700)
+    words = huge.split()
+    rows = [(1, text(50) + " Zorgle, blip: wumpus " + text(50)), (2, text(50) + " zorgle blip and wumpus " + text(50)), (3, text(40) + " " + huge + " " + text(40)), (4, " ".join(words[:200])), (5, tiny)]
+    out = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, tiny), (1, huge)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} == {(1, 0), (5, 0), (3, 1)}
+
+
+def all_leaks(texts, items):
+    """By every stretch of every text: the ids of texts that leak an item."""
+    words = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda c: c[0].lower(), t))
+    out = set()
+    for t in items:
+        w = words(t)
+        sentences = [x for x in re.split(r"[.!?।]+", t) if x.strip()]
+        answer = min(len(w), len(words(sentences[-1]))) if len(sentences) > 1 else max(1, len(w) // 3)
+        bag, reach = set(w), max(len(w) + 16, len(w) * 3 // 2)
+        for i, text in texts.items():
+            x = words(text or "")
+            if i not in out and len(bag.intersection(x)) >= 0.3 * len(bag):
+                for a in range(max(len(x) - reach, 0) + 1):
+                    part = x[a : a + reach]
+                    if sum(y in bag for y in part) >= 0.55 * len(w) and (share := lcs(w, part) / len(w)) >= 0.55:
+                        if share >= 0.75 or lcs(w[-answer:], part) / answer >= 0.8:
+                            out.add(i)
+                            break
+    return out
+
+
 def test_pipeline_against_plain_python(spark, sf_dir):
-    """Each stage on what the stage before kept; the estimates of the first stage are held against numpy elsewhere."""
+    """Each stage's rows, exactly; the first stage's estimates are held against numpy elsewhere."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
-    good = {r["doc_id"] for r in quality.score(docs).where("kept").collect()}
-    ids = sorted(good)
-    text = {i: x[0] for i, x in zip(ids, drop([(rows[i]["source"], rows[i]["text"]) for i in ids], 0.02, 5, 0.5), strict=True)}
-    text = {i: t for i, t in text.items() if brute_first[i] == i} if (brute_first := {i: c for i, (_, c) in brute(list(text.items())).items()}) else {}
-    bench = [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    text = {i: t for i, t in text.items() if not any(b in t for b in bench)}
-    got = corpus_pipeline.run(spark, sf_dir).collect()
-    assert {r["doc_id"] for r in got} <= set(text)
-    words = {i: len(t.split()) for i, t in text.items()}
-    assert sum(r["tokens"] for r in got) == pytest.approx(sum(words.values()), rel=0.05)
+    ids = sorted(r["doc_id"] for r in quality.score(docs).where("kept").collect())
+    text = {i: x[0] for i, x in zip(ids, drop([(rows[i]["source"], rows[i]["text"]) for i in ids], line_dedup.RATIO), strict=True)}
+    first = {i: c for i, (_, c) in brute(list(text.items())).items()}
+    single = {i: t for i, t in text.items() if first[i] == i}
+    gone = all_leaks(single, [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
+    want = [set(ids), set(ids), set(single), set(single) - gone]
+    for (name, stage), expected in zip(corpus_pipeline.STAGES[:-1], want, strict=True):
+        docs = stage(spark, docs, sf_dir)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert {r["doc_id"] for r in docs.collect()} == expected, name
+        if name != "quality_rules":
+            assert all(r["text"] == text[r["doc_id"]] for r in docs.collect()), name
+    assert gone and len(single) < len(ids)
+    assert sorted(corpus_pipeline.run(spark, sf_dir).collect()) == sorted(mixing.mix(docs).collect())
 
 
 def test_pipeline_on_odd_rows(spark, tmp_path):

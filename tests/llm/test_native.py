@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import unicodedata
 
 import numpy as np
+import pytest
 
 from ragloom.llm import line_dedup, quality, queries
 
@@ -45,31 +47,35 @@ def test_base_counts(spark):
 
 
 def stats(text):
-    n, chars, symbols, dup, rep = base(text)
-    per = chars + 250.0
-    upper = sum(1 for c in text or "" if c.isupper())
-    return [math.log1p(n), math.log(per / (n + 50)), math.log1p(100 * symbols / per), math.sqrt((rep + 8 * dup) / (n + 8 * dup + 50)), upper / per]
-
-
-def estimate(x):
-    """The group's centre and scatter by the same steps, in numpy."""
-    floor = np.array(list(quality.FLOOR.values()))
-    grid = floor / 16
-    b = np.floor(x / grid)
-    at = lambda col, q: np.sort(col)[math.ceil(len(col) * q) - 1]
-    q = np.array([[at(b[:, j], p) for p in (0.25, 0.5, 0.75)] for j in range(5)])
-    m = (q[:, 1] + 0.5) * grid
-    s = np.diag(((q[:, 2] - q[:, 0]) * grid / 1.349) ** 2 + floor**2)
-    d2 = lambda: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
-    for step in range(quality.C_STEPS + 1):
-        bins = np.minimum(quality.D2_BINS, np.floor(quality.PER_OCTAVE * np.log2(1 + d2())))
-        if step < quality.C_STEPS:
-            top = np.sort(bins)[math.ceil(len(bins) * quality.H_SHARE) - 1]
-        else:
-            top = math.floor(quality.PER_OCTAVE * math.log2(1 + quality.REWEIGHT))
-        y = x[bins <= top]
-        m, s = y.mean(0), np.cov(y.T, bias=True) + np.diag(floor**2)
-    return d2()
+    w, marks = re.findall(f"[^{SPACE}]+", text), sum(unicodedata.category(c)[0] in "PS" for c in text)
+    n, chars = len(w), sum(map(len, w))
+    return [math.log(n + 1), math.log((chars + 250) / (n + 50)), math.sqrt((marks + 7.5) / (chars + 250)), math.log(len(set(w)) + 1) / math.log(n + 2), math.sqrt((sum(len(x) < 4 for x in w) + 50 / 3) / (n + 50))]
+
+
+def chi_square(k, seed=0):
+    return np.sort((np.random.default_rng(seed).standard_normal((400_000, k)) ** 2).sum(1))
+
+
+def textbook(x, share=0.75):
+    """Minimum covariance determinant over many random starts, reweighted; chi-square by drawing it."""
+    rng, five, seven = np.random.default_rng(3), chi_square(5), chi_square(7, 1)
+    at = lambda q: five[int(q * len(five))]
+    grow = lambda q: q / np.mean(seven <= at(q))
+    dist = lambda m, c: np.einsum("ij,ij->i", np.linalg.solve(c, (x - m).T).T, x - m)
+    h, best = math.ceil(share * len(x)), (np.inf,)
+    for _ in range(60):
+        rows = x[rng.choice(len(x), 12, replace=False)]
+        det = np.inf
+        while True:
+            m, c = rows.mean(0), np.cov(rows.T, bias=True)
+            if len(rows) == h and np.linalg.det(c) >= det * (1 - 1e-9):
+                break
+            det = np.linalg.det(c) if len(rows) == h else np.inf
+            rows = x[np.argsort(dist(m, c))[:h]]
+        if det < best[0]:
+            best = det, m, c
+    rows = x[dist(best[1], best[2] * grow(share)) <= at(0.975)]
+    return dist(rows.mean(0), np.cov(rows.T, bias=True) * grow(0.975))
 
 
 def page(rng, junk=False):
@@ -77,18 +83,36 @@ def page(rng, junk=False):
     return " ".join(x + "%%%" if junk else x for x in w)
 
 
-def test_distances_equal_numpy_and_junk_goes(spark):
+def test_chi_square():
+    assert quality.quantile(0.975) == pytest.approx(12.8325, abs=1e-3) and quality.quantile(0.99999) == pytest.approx(30.856, abs=1e-2)
+    assert quality.consistency(0.75) == pytest.approx(0.75 / np.mean(chi_square(7) <= quality.quantile(0.75)), rel=0.01)
+
+
+def test_estimate_equals_the_textbook_and_junk_goes(spark):
     rng = random.Random(5)
-    rows = [(i, page(rng, i % 9 == 0), "en" if i % 2 else "de", "s") for i in range(200)]
+    rows = [(i, page(rng, i % 9 == 0), "en" if i % 3 else "de", "s") for i in range(2100)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r["doc_id"]: r for r in quality.score(df).collect()}
     for lang in ("en", "de"):
         ids = [r[0] for r in rows if r[2] == lang]
-        want = estimate(np.array([stats(rows[i][1]) for i in ids]))
-        assert np.allclose([got[i]["distance2"] for i in ids], want, rtol=1e-6)
-    assert all(got[i]["kept"] == (i % 9 != 0) for i in range(200))
+        want = textbook(np.array([stats(rows[i][1]) for i in ids]))
+        have = np.array([got[i]["distance2"] for i in ids])
+        clean = np.array([i % 9 != 0 for i in ids])
+        assert np.corrcoef(have[clean], want[clean])[0, 1] > 0.995
+        assert 0.93 < np.median(have[clean] / want[clean]) < 1.05  # the prior's share of the scatter makes them a little smaller
+        assert ((have > quality.CUTOFF) == (want > quality.CUTOFF))[(want < 0.8 * quality.CUTOFF) | (want > 1.25 * quality.CUTOFF)].all()
+    assert not any(got[i]["kept"] for i in range(0, 2100, 9)) and sum(got[i]["kept"] for i in range(2100) if i % 9) >= 1866 * 0.995
     kept = quality.keep_good(df)
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(200) if i % 9]
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(2100) if got[i]["kept"]]
+
+
+def test_constant_statistics_and_groups_of_copies(spark):
+    rng = random.Random(2)
+    same = page(rng)
+    rows = [(i, same, "en", "copies") for i in range(60)] + [(100 + i, page(rng), "en", "other") for i in range(60)] + [(200, page(rng, True), "en", "copies")]
+    got = {r["doc_id"]: r for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(math.isfinite(r["distance2"]) for r in got.values())
+    assert all(got[i]["kept"] for i in range(60)) and not got[200]["kept"]
 
 
 def test_groups_without_broadcast_nulls_and_clashing_columns(spark, monkeypatch):
@@ -102,7 +126,7 @@ def test_groups_without_broadcast_nulls_and_clashing_columns(spark, monkeypatch)
     assert quality.keep_good(df).where("doc_id IS NULL").count() == 1  # a row without doc_id stays
 
 
-def test_small_groups_reject_nobody_and_empty_tables(spark):
+def test_lone_documents_are_kept_and_empty_tables(spark):
     df = spark.createDataFrame([(i, "word " + page(random.Random(i), i == 0), "en", f"s{i}") for i in range(9)], "doc_id long, text string, lang string, source string")
     assert quality.score(df).where("kept").count() == 9
     assert quality.score(df.where("doc_id > 99")).count() == 0 and quality.keep_good(df.where("doc_id > 99")).count() == 0
