@@ -54,10 +54,11 @@ ITEM_BLOCK = 20_000
 #: Words taken through the dense steps at once, and products of windows and items held at once.
 PIECE_WORDS, PRODUCTS = 1 << 16, 1 << 22
 OUT = "doc_id long, item_id long, cosine double, lcs double, answer double, kind string"
+FOUND = OUT.replace(" long", " string")
 
 
 def encode(batches: Iterable[pd.DataFrame], vocabulary: np.ndarray) -> Iterator[pd.DataFrame]:
-    """doc_id, n (words), ids (uint32 numbers; len(vocabulary) for words outside)."""
+    """doc_id (as text, which pandas keeps whole beside nulls), n (words), ids (uint32 numbers; len(vocabulary) for words outside)."""
     sieve = np.zeros(1 << 20, bool)
     sieve[(vocabulary & np.uint64(0xFFFFF)).astype(np.int64)] = True
     for batch in batches:
@@ -70,8 +71,8 @@ def encode(batches: Iterable[pd.DataFrame], vocabulary: np.ndarray) -> Iterator[
             number[may[hit]] = at[hit]
             for d in range(len(piece)):
                 doc = ids[piece.first + d]
-                out.append((None if pd.isna(doc) else int(doc), int(piece.of[d + 1] - piece.of[d]), number[piece.of[d] : piece.of[d + 1]].tobytes()))
-        yield pd.DataFrame(out, columns=["doc_id", "n", "ids"]).astype({"doc_id": "Int64"})
+                out.append((doc, int(piece.of[d + 1] - piece.of[d]), number[piece.of[d] : piece.of[d + 1]].tobytes()))
+        yield pd.DataFrame(out, columns=["doc_id", "n", "ids"])
 
 
 def _runs(batch: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
@@ -161,7 +162,7 @@ def lcs_bits(item: list[int], text: Iterable[int]) -> int:
 
 
 class Items:
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[str | None, str]]):
         self.rows = [(i, p.hash, _answer_words(t, len(p.hash))) for i, t in rows if isinstance(t, str) for p in [next(pieces([t], NOT_ALNUM))] if len(p.hash)]
         self.vocabulary = np.unique(np.concatenate([h for _, h, _ in self.rows])) if self.rows else np.zeros(0, np.uint64)
         self.ids = [np.searchsorted(self.vocabulary, h).astype(np.uint32) for _, h, _ in self.rows]
@@ -283,7 +284,7 @@ def _verbatim(ids: np.ndarray, doc: np.ndarray, item: np.ndarray) -> np.ndarray:
     return np.unique(doc[at[doc[at] == doc[at + len(item) - 1]]])
 
 
-def _search(batches: Iterable[pd.DataFrame], names: list[int], item_ids: list[np.ndarray], answers: list[int], places: np.ndarray, cosine: float) -> Iterator[pd.DataFrame]:
+def _search(batches: Iterable[pd.DataFrame], names: list[str | None], item_ids: list[np.ndarray], answers: list[int], places: np.ndarray, cosine: float) -> Iterator[pd.DataFrame]:
     m = len(places)
     q, of_item = _queries(item_ids, places)
     items = [i.tolist() for i in item_ids]
@@ -323,7 +324,7 @@ def _search(batches: Iterable[pd.DataFrame], names: list[int], item_ids: list[np
                     best[d, t] = (float(found["c"][k:e].max()), *got)
                 k = e
             out += [(docs[d], names[t], *v) for (d, t), v in best.items()]
-        yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "lcs", "answer", "kind"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+        yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "lcs", "answer", "kind"])
 
 
 def _random(n: int, k: int) -> np.ndarray:
@@ -333,11 +334,11 @@ def _random(n: int, k: int) -> np.ndarray:
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK) -> DataFrame:
     """docs (doc_id, text) against benchmark (item_id, text), whose items the driver and each task hold."""
     spark = docs.sparkSession
-    items = Items([(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), "text").collect()])
+    items = Items([(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("string"), "text").collect()])
     if not len(items):
         return spark.createDataFrame([], OUT)
     vocabulary, m = items.vocabulary, len(items.vocabulary)
-    lists = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda b: encode(b, vocabulary), "doc_id long, n long, ids binary"), "decontaminate-words", batch_rows=1000)
+    lists = materialize(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(lambda b: encode(b, vocabulary), "doc_id string, n long, ids binary"), "decontaminate-words", batch_rows=1000)
 
     df = np.zeros(m + 1)
     for at, k in lists.mapInPandas(lambda b: _frequencies(b, m), "at long, df long").groupBy("at").agg(F.sum("df")).collect():  # a row per word of the items
@@ -356,9 +357,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: i
     for a in range(0, len(items), ITEM_BLOCK):
         block = items.rows[a : a + ITEM_BLOCK]
         names, ids, answers = [i for i, _, _ in block], items.ids[a : a + ITEM_BLOCK], [x for _, _, x in block]
-        out = lists.mapInPandas(lambda b, names=names, ids=ids, answers=answers: _search(b, names, ids, answers, places, cosine), OUT)
+        out = lists.mapInPandas(lambda b, names=names, ids=ids, answers=answers: _search(b, names, ids, answers, places, cosine), FOUND)
         found = out if found is None else found.unionByName(out)
-    return found
+    return found.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "item_id")})
 
 
 #: Leaking ids that are sent to every executor (8 bytes each); beyond, a shuffled anti join.

@@ -21,21 +21,29 @@ all documents, up to equal 64-bit hashes.
    these tie candidates to the smallest id that holds them; connected
    components of those stars contain all links.
 5. ``_search``: within such components, in blocks of bounded size, DivideSkip:
-   the short inverted lists of a document are merged and counted, documents
-   that reach the count left to the short lists are probed in the long lists,
-   and pairs that already hang together are skipped. A component beyond a
-   block's size is cut by set size (factor 1.25) and hash; all pairs of parts
-   that may link become blocks.
+   the short inverted lists of a document are merged by a heap, documents that
+   reach the count left to the short lists are probed by binary search in the
+   long lists. Every pair that links is verified, none is passed over because
+   its documents hang together already. A component beyond a block's size is cut
+   by set size (factor 1.25) and hash; all pairs of parts that may link become
+   blocks, so each pair of documents is in one block.
 6. Components of the links found.
 
+``join`` gives one row per document with its class (documents of equal sets),
+its number of links (classes of other sets that it links to) and its component;
+``pairs`` gives the links themselves, between the classes' smallest documents.
+
 Defined cases: null, empty and word-less texts have no shingles and are alone;
-under five words the whole sequence is the one shingle; rows with one doc_id
-are one document (their sets united; n_shingles is the largest); rows without
-doc_id are alone, with component null; other columns are ignored.
+under five words the whole sequence is the one shingle; a very long text is read
+whole, in memory that grows with it; rows with one doc_id are one document, whose
+set and n_shingles are those of its rows united; rows without doc_id are alone,
+with class and component null; an overlap equal to the bound links; an empty
+table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterable, Iterator
 
@@ -46,18 +54,25 @@ from pyspark.sql import functions as F
 
 from ragloom.llm.components import components
 from ragloom.llm.scratch import materialize
-from ragloom.llm.skew import attach, even_keys
+from ragloom.llm.skew import attach, even_keys, meet
 from ragloom.llm.words import SPACES, grams, mix, pieces
 
 N, PERCENT = 5, 80
 #: Shingles a task holds before it deals them out, and a block's shingles at most.
-TASK_SHINGLES, BLOCK_SHINGLES = 600_000, 1_500_000
+TASK_SHINGLES, BLOCK_SHINGLES = 600_000, 400_000
 TEXT_ROWS = 1000
 HEAVY = 64
-BUCKETS_PER_PARTITION = 2
+#: A bucket of the index is for so many bytes of text, and there are two for each shuffle partition at least.
+BUCKET_BYTES, BUCKETS_PER_PARTITION = 48 << 20, 2
 BROADCAST_CLASSES, BROADCAST_IDS = 200_000, 500_000
 #: DivideSkip's factor: of T lists at most T / (MU * log2(longest) + 1) are set aside.
 MU = 0.01
+#: Postings of a document's short lists that go through the heap; of more, the same counts are taken in one pass of numpy.
+HEAP = 512
+#: Candidates of a document that are probed one by one in its long lists; of more, these lists are counted as well.
+PROBES = 64
+#: Pairs in one Arrow batch of ``pairs``.
+PAIR_ROWS = 100_000
 
 
 def needed(n, percent: int = PERCENT):
@@ -127,8 +142,8 @@ class _Dealer:
         notices = g[order][edge[count >= self.heavy]]
         for kind, d, s in ((1, doc[~many], g[~many]), (2, doc[many], g[many]), (3, None, notices)):
             bucket = _bucket(s, buckets)
-            if kind == 2:  # needs no lookup, so it goes where there is room; its bucket's name is part of the shingle
-                s, bucket = _named(s, np.array(self.keys, np.int64)[bucket]), doc[many] % buckets
+            if kind == 2:  # needs no lookup, so it goes where there is room; its bucket's number is part of the shingle
+                s, bucket = _named(s, bucket), doc[many] % buckets
             by = np.argsort(bucket, kind="stable")
             s, at = s[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
             d = None if d is None else d[by]
@@ -145,16 +160,15 @@ def _bucket(g: np.ndarray, buckets: int) -> np.ndarray:
     return ((g >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
-def _named(g: np.ndarray, keys) -> np.ndarray:
-    """What stands for a shingle: its lower 48 bits and 16 of its bucket's name."""
-    return g & np.uint64(0xFFFFFFFFFFFF) | (np.asarray(keys).astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(48)
+def _named(g: np.ndarray, bucket) -> np.ndarray:
+    """What stands for a shingle: its lower 48 bits and the lower 16 of its bucket's number, which its upper 24 bits give."""
+    return g & np.uint64(0xFFFFFFFFFFFF) | (np.asarray(bucket).astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(48)
 
 
 def _postings(batches: Iterable[pd.DataFrame], keys: list[int]) -> Iterator[pd.DataFrame]:
     """Of texts; a shingle of two documents here is known to be shared."""
     dealer = _Dealer(keys, 2)
     for batch in batches:
-        batch = batch[batch["doc_id"].notna()]
         doc_ids = batch["doc_id"].to_numpy(np.int64)
         for first, n_texts, doc, g in shingles(batch["text"].tolist()):
             n = np.bincount(doc, minlength=n_texts)
@@ -178,12 +192,12 @@ SPREAD = "part long, kind int, docs binary, counts binary, shingles binary, held
 UNCOUNTED = 0xFFFFFFFF
 
 
-def _lookup(postings: pd.DataFrame, keys: list[int]) -> pd.DataFrame:
-    """One bucket: the documents of each shingle that is in two or more, dealt on by document. keys: a part's name in the
-    result. kind 0 sizes, 2 shingles; counts of shingles: runs of documents, then how many hold each (UNCOUNTED if
+def _lookup(postings: pd.DataFrame, numbers: dict[int, int], keys: list[int]) -> pd.DataFrame:
+    """One bucket: the documents of each shingle that is in two or more, dealt on by document. numbers: of buckets
+    by name; keys: a part's name in the result. kind 0 sizes, 2 shingles; counts of shingles: runs of documents, then how many hold each (UNCOUNTED if
     a task had it from too many to send)."""
     parts = len(keys)
-    name = int(postings["bucket"].iloc[0])
+    number = numbers[int(postings["bucket"].iloc[0])]
     docs: list[np.ndarray] = [np.zeros(0, np.int64)]
     toks: list[np.ndarray] = [np.zeros(0, np.uint64)]
     known: list[np.ndarray] = [np.zeros(0, np.uint64)]
@@ -216,12 +230,12 @@ def _lookup(postings: pd.DataFrame, keys: list[int]) -> pd.DataFrame:
             at = np.minimum(np.searchsorted(extra, tok[edge]), len(extra) - 1)
             count[extra[at] == tok[edge]] = UNCOUNTED
         keep = np.repeat(count > 1, length)
-        ready.append((doc[keep], _named(tok[keep], name), np.repeat(count, length)[keep]))
+        ready.append((doc[keep], _named(tok[keep], number), np.repeat(count, length)[keep]))
     out: list[tuple] = []
     sizes = (np.concatenate(size_docs), np.concatenate(size_n), None)
     found = tuple(np.concatenate(x) for x in zip(*ready, strict=True)) if ready else (doc[:0], tok[:0], np.zeros(0, np.uint32))
     for kind, (d, v, n) in ((0, sizes), (2, found)):
-        part = (mix(d.astype(np.uint64)) >> np.uint64(33)).astype(np.int64) % parts
+        part = _part_of(d, parts)
         by = np.lexsort((d, part))
         d, v, part = d[by], v[by], part[by]
         edge = np.searchsorted(part, np.arange(parts + 1))
@@ -245,6 +259,9 @@ def _gathered(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
     last = np.append(d[1:] != d[:-1], True) if len(d) else np.zeros(0, bool)
     times = np.diff(np.append(-1, np.flatnonzero(last)))
     d, n = d[last], n[last]
+    united = rows[rows["kind"] == 4]
+    for doc, size in zip(united["docs"], united["counts"], strict=True):
+        n[np.searchsorted(d, np.frombuffer(doc, np.int64))] = np.frombuffer(size, np.int64)
     rest = rows[rows["kind"] == 2]
     doc = np.concatenate([np.repeat(np.frombuffer(x, np.int64), np.frombuffer(c, np.int32)) for x, c in zip(rest["docs"], rest["counts"], strict=True)] or [np.zeros(0, np.int64)])
     tok = np.concatenate([np.frombuffer(x, np.uint64) for x in rest["shingles"]] or [np.zeros(0, np.uint64)])
@@ -257,6 +274,36 @@ def _gathered(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return d, times, n, tok, held, np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")
 
 
+def _rows_of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row per document and shingle, of few texts."""
+    for batch in batches:
+        doc_ids = batch["doc_id"].to_numpy(np.int64)
+        for first, _, doc, g in shingles(batch["text"].tolist()):
+            yield pd.DataFrame({"doc_id": doc_ids[first + doc], "shingle": g.astype(np.int64)})
+
+
+def _part_of(doc: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(doc.astype(np.uint64)) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def _sizes(batches: Iterable[pd.DataFrame], keys: list[int]) -> Iterator[pd.DataFrame]:
+    """Sizes of united sets, for their documents' parts."""
+    for batch in batches:
+        d, n = batch["doc_id"].to_numpy(np.int64), batch["n"].to_numpy(np.int64)
+        part = _part_of(d, len(keys))
+        out = [(keys[p], 4, _blob(d[part == p], np.int64), _blob(n[part == p], np.int64), b"", b"") for p in np.unique(part)]
+        yield pd.DataFrame(out, columns=["part", "kind", "docs", "counts", "shingles", "held"])
+
+
+def _united(docs: DataFrame, keys: list[int]) -> DataFrame | None:
+    """Sizes of the sets of documents of several rows; None if there are none."""
+    repeated = materialize(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "join-united")
+    if (k := repeated.count()) == 0:
+        return None
+    rows = docs.join(F.broadcast(repeated) if k <= BROADCAST_IDS else repeated, "doc_id", "left_semi")
+    return rows.mapInPandas(_rows_of, "doc_id long, shingle long").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).mapInPandas(lambda b: _sizes(b, keys), SPREAD)
+
+
 DOCS = "doc_id long, rows long, n long, a long, b long, shingles binary"
 
 
@@ -273,7 +320,8 @@ def _documents(rows: pd.DataFrame) -> pd.DataFrame:
                 m = mix(s)
                 a, b = int(m.sum(dtype=np.uint64).astype(np.int64)), int(mix(m + np.uint64(77)).sum(dtype=np.uint64).astype(np.int64))
         out.append((d[i], times[i], n[i], a, b, blob))
-    return pd.DataFrame(out, columns=["doc_id", "rows", "n", "a", "b", "shingles"]).astype({"a": "Int64", "b": "Int64"})
+    frame = pd.DataFrame(out, columns=["doc_id", "rows", "n", "a", "b", "shingles"], dtype=object)
+    return frame.assign(**{c: pd.array(frame[c].tolist(), dtype="Int64") for c in ("doc_id", "rows", "n", "a", "b")})  # never by way of floats
 
 
 def _prefixes(rows: pd.DataFrame) -> pd.DataFrame:
@@ -290,62 +338,116 @@ def _prefixes(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": np.concatenate(ids), "shingle": np.concatenate(toks).astype(np.int64)})
 
 
-def divide_skip(ids: np.ndarray, n: np.ndarray, sets: list[np.ndarray], side: np.ndarray, both: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that join the documents of a block, as pairs (smallest id of a component, member).
+def merge_counts(lists: list[np.ndarray], first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from first to last - 1 in ascending lists, and how many lists have each."""
+    lists = [x[np.searchsorted(x, first) : np.searchsorted(x, last)] for x in lists]
+    if sum(map(len, lists)) > HEAP:
+        counts = np.bincount(np.concatenate(lists) - first)
+        return np.flatnonzero(counts) + first, counts[counts > 0]
+    found, counts = [], []
+    heap = [(int(x[0]), k, 0) for k, x in enumerate(lists) if len(x)]
+    heapq.heapify(heap)
+    while heap:
+        y, k, at = heap[0]
+        if found and found[-1] == y:
+            counts[-1] += 1
+        else:
+            found.append(y)
+            counts.append(1)
+        if at + 1 < len(lists[k]):
+            heapq.heapreplace(heap, (int(lists[k][at + 1]), k, at + 1))
+        else:
+            heapq.heappop(heap)
+    return np.array(found, np.int64), np.array(counts, np.int64)
+
 
-    Documents go in order of size; each looks among those before it. side and
-    both: with both False only pairs from different sides count."""
-    order = np.lexsort((ids, n))
-    ids, n, side = ids[order], n[order], side[order]
-    sets = [sets[i] for i in order]
-    m = len(ids)
+def divide_skip(n: np.ndarray, sets: list[np.ndarray], side: np.ndarray, both: bool, percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of a block in order of n: a document's number, those before it that it links to, and the overlaps.
+
+    side and both: with both False only pairs from different sides count."""
+    m = len(n)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
     toks = np.concatenate(sets) if m else np.zeros(0, np.uint64)
     by = np.argsort(toks, kind="stable")
     lists, owner = toks[by], owner[by]
     heads, lo, count = np.unique(lists, return_index=True, return_counts=True)
-    group = np.arange(m)
     longest = int(count.max()) if len(count) else 1
     for x in range(m):
         t = int(needed(n[x], percent))
         at = np.searchsorted(heads, sets[x])
         at = at[count[at] > 1]
-        if len(at) < t:
+        first = int(np.searchsorted(n, needed(n[x], percent)))  # smaller sets can't link
+        if len(at) < t or first == x:
             continue
         at = at[np.argsort(count[at], kind="stable")]
         aside = min(t - 1, int(t / (MU * math.log2(longest + 1) + 1)))
         short, long = at[: len(at) - aside], at[len(at) - aside :]
-        merged = np.concatenate([owner[lo[k] : lo[k] + count[k]] for k in short])
-        hits = np.bincount(merged[merged < x], minlength=x)
-        fit = np.flatnonzero(hits >= t - aside)
-        fit = fit[(n[fit] * 100 >= percent * n[x]) & (both | (side[fit] != side[x])) & (group[fit] != group[x])]
-        fit = fit[np.argsort(-hits[fit], kind="stable")]
-        probes, whole = 0, None
-        while len(fit):
-            y, fit = fit[0], fit[1:]
-            if whole is None and probes == 16:  # so many near misses: one merge of the long lists settles all that are left
-                rest = np.concatenate([owner[lo[k] : lo[k] + count[k]] for k in long]) if len(long) else merged[:0]
-                whole = hits + np.bincount(rest[rest < x], minlength=x)
-            if whole is None:
-                probes += 1
-                want = heads[long]
-                spot = np.minimum(np.searchsorted(sets[y], want), len(sets[y]) - 1)
-                overlap = int(hits[y]) + int(np.count_nonzero(sets[y][spot] == want))
-            else:
-                overlap = int(whole[y])
-            if 100 * overlap >= percent * (int(n[x]) + int(n[y]) - overlap):
-                group[group == group[x]] = group[y]
-                fit = fit[group[fit] != group[x]]
-    least: dict[int, int] = {}
-    for g, i in zip(group, ids, strict=True):
-        least[g] = min(least.get(g, int(i)), int(i))
-    return [(least[g], int(i)) for g, i in zip(group, ids, strict=True) if least[g] != i]
+        fit, hits = merge_counts([owner[lo[k] : lo[k] + count[k]] for k in short], first, x)
+        may = (hits >= t - aside) & (both | (side[fit] != side[x]))
+        fit, hits = fit[may], hits[may]
+        if len(fit) <= PROBES:
+            for at, y in enumerate(fit) if len(long) else ():
+                spot = np.minimum(np.searchsorted(sets[y], heads[long]), len(sets[y]) - 1)
+                hits[at] += np.count_nonzero(sets[y][spot] == heads[long])
+        else:
+            more, counts = merge_counts([owner[lo[k] : lo[k] + count[k]] for k in long], first, x)
+            hits += np.append(counts, 0)[np.where(np.isin(fit, more), np.searchsorted(more, fit), len(more))]
+        linked = 100 * hits >= percent * (n[x] + n[fit] - hits)
+        if linked.any():
+            yield x, fit[linked], hits[linked]
 
 
-def _search(block: pd.DataFrame) -> pd.DataFrame:
+def _linked(block: pd.DataFrame) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    block = block.iloc[np.lexsort((block["doc_id"], block["n"]))]
     sets = [np.frombuffer(s, np.uint64) for s in block["shingles"]]
-    links = divide_skip(block["doc_id"].to_numpy(np.int64), block["n"].to_numpy(np.int64), sets, block["side"].to_numpy(), bool(block["own"].iloc[0]))
-    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+    return block["doc_id"].to_numpy(np.int64), divide_skip(block["n"].to_numpy(np.int64), sets, block["side"].to_numpy(), bool(block["own"].iloc[0]))
+
+
+LINKS = "a long, b long, links long"
+
+
+def _search(block: pd.DataFrame) -> pd.DataFrame:
+    """Documents b of a block that link: the smallest one a that b hangs together with there, and b's number of links there."""
+    ids, found = _linked(block)
+    group, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+    for x, ys, _ in found:
+        links[x] += len(ys)
+        links[ys] += 1
+        joined = np.unique(group[ys])
+        if len(joined) > 1 or joined[0] != group[x]:
+            group[np.isin(group, np.append(joined, group[x]))] = joined[0]
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, ids)
+    at = np.flatnonzero(links)
+    return pd.DataFrame({"a": least[group[at]], "b": ids[at], "links": links[at]})
+
+
+def _pairs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by block to links, some at a time."""
+    held: list[pd.DataFrame] = []
+    frame = lambda part: pd.DataFrame(dict(zip(("a", "b", "overlap"), map(np.concatenate, zip(*part, strict=True)), strict=True)))
+
+    def settle() -> Iterator[pd.DataFrame]:
+        ids, found = _linked(pd.concat(held, ignore_index=True))
+        part: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for x, ys, overlap in found:
+            part.append((np.minimum(ids[x], ids[ys]), np.maximum(ids[x], ids[ys]), overlap))
+            size += len(ys)
+            if size >= PAIR_ROWS:
+                yield frame(part)
+                part, size = [], 0
+        if part:
+            yield frame(part)
+
+    for batch in batches:
+        for _, rows in batch.groupby((batch["_block"] != batch["_block"].shift()).cumsum()):
+            if held and held[-1]["_block"].iloc[0] != rows["_block"].iloc[0]:
+                yield from settle()
+                held.clear()
+            held.append(rows)
+    if held:
+        yield from settle()
 
 
 def _blocks(reps: DataFrame, near: DataFrame) -> DataFrame:
@@ -373,17 +475,30 @@ def _blocks(reps: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row per document."""
+    """doc_id, n_shingles, component_id, class_id, n_links, one row per document."""
     return _join(docs, buckets)[0]
 
 
-def _join(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The result, and the doc_ids of several rows."""
+def pairs(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """a, b, overlap: every link between classes, by their smallest documents, a < b."""
+    blocks = _candidates(docs, buckets)[2]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(parts, "_block").sortWithinPartitions("_block").mapInPandas(_pairs, "a long, b long, overlap long")
+
+
+def _candidates(docs: DataFrame, buckets: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with their sets' sizes; classes' members; and blocks of classes that may link."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = even_keys(spark, buckets or BUCKETS_PER_PARTITION * parts, parts)
-    lists = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda b: _postings(b, keys), POSTINGS)
-    spread = lists.groupBy("bucket").applyInPandas(lambda p: _lookup(p, keys[:parts]), SPREAD)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = buckets or max(BUCKETS_PER_PARTITION * parts, -(-size // BUCKET_BYTES))
+    keys = even_keys(spark, count, parts)
+    numbers, places = {k: i for i, k in enumerate(keys)}, keys[: max(parts, count // BUCKETS_PER_PARTITION)]
+    lists = docs.mapInPandas(lambda b: _postings(b, keys), POSTINGS)
+    spread = lists.groupBy("bucket").applyInPandas(lambda p: _lookup(p, numbers, places), SPREAD)
+    united = _united(docs, places)
+    spread = spread if united is None else spread.unionByName(united)
     found = materialize(spread.groupBy("part").applyInPandas(_documents, DOCS), "join-documents", batch_rows=TEXT_ROWS)
 
     may = found.where("shingles is not null")
@@ -396,16 +511,25 @@ def _join(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataF
     reps = materialize(may.join(copies, "doc_id", "left_anti").select("doc_id", "n", "shingles"), "join-reps")
 
     heavy = HEAVY
-    lists = reps.mapInPandas(lambda b: _again(b, keys, heavy), POSTINGS).groupBy("bucket").applyInPandas(lambda p: _lookup(p, keys[:parts]), SPREAD)
+    lists = reps.mapInPandas(lambda b: _again(b, keys, heavy), POSTINGS).groupBy("bucket").applyInPandas(lambda p: _lookup(p, numbers, places), SPREAD)
     first = materialize(lists.groupBy("part").applyInPandas(_prefixes, "doc_id long, shingle long"), "join-prefixes", batch_rows=TEXT_ROWS)
-    stars = first.groupBy("shingle").agg(F.min("doc_id").alias("a"), F.count("*").alias("k")).where("k > 1").select("shingle", "a")
-    near = components(first.join(stars, "shingle").where("doc_id != a").select("a", F.col("doc_id").alias("b")))
-    links = _blocks(reps, near).groupBy("_block").applyInPandas(_search, "a long, b long")
-    joined = components(links)
-    named = members.join(joined, members["rep"] == joined["id"], "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    linked = materialize(named.where("component != doc_id"), "join-result")
-    out = found.select("doc_id", F.col("n").alias("n_shingles")).join(linked, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    nameless = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), _set_size(F.col("text")).alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    stars = materialize(first.groupBy("shingle").agg(F.min("doc_id").alias("a"), F.count("*").alias("_k")).where("_k > 1"), "join-stars")
+    near = components(meet(first, stars, "shingle").where("doc_id != a").select("a", F.col("doc_id").alias("b")))
+    return found, members, _blocks(reps, near)
+
+
+def _join(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The result, and the doc_ids of several rows."""
+    found, members, blocks = _candidates(docs, buckets)
+    links = materialize(blocks.groupBy("_block").applyInPandas(_search, LINKS), "join-links")
+    joined = components(links.select("a", "b")).select(F.col("id").alias("rep"), "component")
+    degrees = links.groupBy(F.col("b").alias("rep")).agg(F.sum("links").alias("n_links"))
+    named = members.join(degrees, "rep", "left").join(joined, "rep", "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linked = materialize(named.where("component != doc_id or n_links > 0"), "join-result")
+    own = lambda c: F.coalesce(c, "doc_id")
+    out = found.select("doc_id", F.col("n").alias("n_shingles")).join(linked, "doc_id", "left").select("doc_id", "n_shingles", own("component").alias("component_id"), own("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    none = F.lit(None).cast("long")
+    nameless = docs.where(F.col("doc_id").isNull()).select(none.alias("doc_id"), _set_size(F.col("text")).alias("n_shingles"), none.alias("component_id"), none.alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(nameless), found.where("rows > 1").select("doc_id")
 
 

@@ -79,8 +79,11 @@ ORACLE = {
         links AS MATERIALIZED (SELECT a.doc_id AS p, b.doc_id AS q FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id
             GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
         reach AS (SELECT doc_id AS p, doc_id AS q FROM documents UNION SELECT r.p, l.q FROM reach r JOIN links l ON r.q = l.p),
-        least_of AS (SELECT p, min(q) AS c FROM reach GROUP BY p)
-        SELECT s.doc_id, len(g)::BIGINT AS n_shingles, c AS component_id FROM s JOIN least_of ON s.doc_id = least_of.p""",
+        least_of AS (SELECT p, min(q) AS c FROM reach GROUP BY p),
+        classes AS MATERIALIZED (SELECT doc_id, CASE WHEN len(g) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(g)) END AS class_id FROM s),
+        degrees AS (SELECT p, count(DISTINCT y.class_id) AS k FROM links JOIN classes x ON p = x.doc_id JOIN classes y ON q = y.doc_id WHERE x.class_id <> y.class_id GROUP BY p)
+        SELECT s.doc_id, len(g)::BIGINT AS n_shingles, c AS component_id, class_id, coalesce(k, 0)::BIGINT AS n_links
+        FROM s JOIN least_of ON s.doc_id = least_of.p JOIN classes USING (doc_id) LEFT JOIN degrees ON s.doc_id = degrees.p""",
     "op4_mixing": f"""
         WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS tokens FROM documents),
         r AS MATERIALIZED (SELECT * FROM d WHERE tokens > 0),

@@ -15,6 +15,19 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], n_groups: int, m
     return rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")
 
 
+def meet(rows: DataFrame, keyed: DataFrame, key: str, hot: int = 100_000) -> DataFrame:
+    """Inner join of rows with a row per key, whose ``_k`` says how many rows have that key. Keys of over ``hot`` rows, and of
+    over a quarter of a partition's share, are broadcast (at most four a partition); no row of theirs is shuffled."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total, most = keyed.agg(F.sum("_k"), F.max("_k")).first()
+    limit = max(hot, (total or 0) // (4 * parts))
+    if (most or 0) <= limit:
+        return rows.join(keyed.drop("_k"), key)
+    large = F.broadcast(keyed.where(F.col("_k") > limit).drop("_k"))
+    rest = rows.join(large.select(key), key, "left_anti").join(keyed.where(F.col("_k") <= limit).drop("_k"), key)
+    return rows.join(large, key).unionByName(rest)
+
+
 def even_keys(spark: SparkSession, count: int, parts: int) -> list[int]:
     """count different longs that hash partitioning deals evenly over ``parts`` partitions: count / parts to each."""
     each = -(-count // parts)

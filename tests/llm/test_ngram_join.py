@@ -9,13 +9,30 @@ from ragloom.llm import ngram_join as nj
 from ragloom.llm import queries
 
 
-def brute(rows):
-    """doc_id -> (n, component), all pairs."""
+def shingle_sets(rows):
     sets = {}
     for i, t in rows:
         t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        sets.setdefault(i, set()).update({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    return sets
+
+
+def linked(a, b):
+    return bool(a & b) and 100 * len(a & b) >= 80 * len(a | b)
+
+
+def classes(sets):
+    first = {}
+    for i in sorted(sets):
+        if sets[i]:
+            first.setdefault(frozenset(sets[i]), i)
+    return {i: first.get(frozenset(s), i) for i, s in sets.items()}
+
+
+def brute(rows):
+    """doc_id -> (n, component), all pairs."""
+    sets = shingle_sets(rows)
     part = {i: i for i in sets}
 
     def find(x):
@@ -25,13 +42,30 @@ def brute(rows):
 
     for a in sets:
         for b in sets:
-            common = len(sets[a] & sets[b])
-            if a < b and common and 100 * common >= 80 * len(sets[a] | sets[b]):
+            if a < b and linked(sets[a], sets[b]):
                 x, y = find(a), find(b)
                 part[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def links(rows):
+    """Links between classes: (a, b) -> overlap."""
+    sets = shingle_sets(rows)
+    reps = sorted(set(classes(sets).values()))
+    return {(a, b): len(sets[a] & sets[b]) for a in reps for b in reps if a < b and linked(sets[a], sets[b])}
+
+
+def check_links(spark, rows):
+    df, sets, want = spark.createDataFrame(rows, "doc_id long, text string"), shingle_sets(rows), links(rows)
+    of = classes(sets)
+    degree = collections.Counter(i for pair in want for i in pair)
+    got = {r["doc_id"]: r for r in nj.join(df).collect()}
+    assert {i: (r["class_id"], r["n_links"]) for i, r in got.items()} == {i: (of[i], degree[of[i]]) for i in sets}
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute(rows)
+    assert {(r["a"], r["b"]): r["overlap"] for r in nj.pairs(df).collect()} == want
+    return want
+
+
 def corpus(seed, n=140):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6)))
@@ -60,7 +94,7 @@ def joined(spark, rows):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_all_pairs(spark, seed):
     rows = corpus(seed) + [(900, None), (901, ""), (902, " \t\n"), (903, None)]
-    assert joined(spark, rows) == brute(rows)
+    assert len(check_links(spark, rows)) > 20
 
 
 def test_small_tasks_and_blocks_change_nothing(spark, monkeypatch):
@@ -68,28 +102,55 @@ def test_small_tasks_and_blocks_change_nothing(spark, monkeypatch):
     # Tasks run in workers of their own, where only what the closure carries is seen; the block size is the driver's.
     monkeypatch.setattr(nj, "BLOCK_SHINGLES", 300)
     monkeypatch.setattr(nj, "HEAVY", 3)
+    monkeypatch.setattr(nj, "BUCKET_BYTES", 1000)
     monkeypatch.setattr(nj, "BROADCAST_CLASSES", 0)
     monkeypatch.setattr(nj, "BROADCAST_IDS", 0)
-    assert joined(spark, rows) == brute(rows)
+    check_links(spark, rows)
+
+
+def test_rows_of_one_id_are_united(spark):
+    rng = random.Random(3)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    one, two, three = text(104), text(104), text(60)
+    rows = [(1, one), (1, two), (2, one), (3, one + " " + two), (4, three), (4, three), (5, three), (6, one), (6, one + " tail"), (7, None), (7, one)]
+    check_links(spark, rows)
+    got = {r["doc_id"]: r for r in nj.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_shingles"] == 200 and got[2]["component_id"] == 2 and got[1]["component_id"] == 1 == got[3]["component_id"]
+
+
+def test_merge_counts_by_heap_and_by_counting(monkeypatch):
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        lists = [np.unique(rng.integers(0, 60, rng.integers(0, 30))) for _ in range(rng.integers(1, 20))]
+        want = collections.Counter(int(y) for x in lists for y in x if 10 <= y < 50)
+        for most in (0, 10_000):
+            monkeypatch.setattr(nj, "HEAP", most)
+            found, counts = nj.merge_counts(lists, 10, 50)
+            assert dict(zip(found.tolist(), counts.tolist(), strict=True)) == want and (np.diff(found) > 0).all()
 
 
-def test_divide_skip_links_exactly():
+@pytest.mark.parametrize("probes", [0, 64])
+def test_divide_skip_links_exactly(probes, monkeypatch):
+    monkeypatch.setattr(nj, "PROBES", probes)
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 60, 400).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[: 300 + 3 * k], rng.integers(0, 1 << 60, k).astype(np.uint64)])) for k in range(0, 33, 2)] + [np.unique(rng.choice(base, 200, replace=False)) for _ in range(30)]
-    ids, n = np.arange(len(sets)), np.array([len(s) for s in sets])
-    links = nj.divide_skip(ids, n, sets, np.zeros(len(sets)), True)
-    part = list(range(len(sets)))
-    for a in range(len(sets)):
-        for b in range(a):
-            i = len(np.intersect1d(sets[a], sets[b]))
-            if 100 * i >= 80 * (n[a] + n[b] - i):
-                x, y = part[a], part[b]
-                part = [min(x, y) if p in (x, y) else p for p in part]
-    got = list(range(len(sets)))
-    for a, b in links:
-        got[b] = a
-    assert got == [min(i for i in range(len(sets)) if part[i] == part[j]) for j in range(len(sets))]
+    sets.sort(key=len)
+    n = np.array([len(s) for s in sets])
+    side = rng.integers(0, 2, len(sets))
+    for both in (True, False):
+        got = {(x, int(y)): int(o) for x, ys, overlap in nj.divide_skip(n, sets, side, both) for y, o in zip(ys, overlap, strict=True)}
+        common = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in range(len(sets)) for b in range(a) if both or side[a] != side[b]}
+        assert got == {(a, b): i for (a, b), i in common.items() if 100 * i >= 80 * (n[a] + n[b] - i)} and got
+
+
+def test_hot_keys_are_broadcast(spark):
+    from ragloom.llm.skew import meet
+
+    rows = spark.createDataFrame([(k % 3, k) for k in range(300)] + [(9, 1), (10, 2)], "k long, v long")
+    keyed = rows.groupBy("k").count().withColumnRenamed("count", "_k").where("k != 10")
+    for hot in (10, 100_000):
+        assert sorted(meet(rows, keyed, "k", hot).collect()) == sorted(rows.where("k != 10").collect())
 
 
 def test_hot_group_and_long_text(spark):
