@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.llm.scratch import materialize
-from ragloom.llm.words import NOT_ALNUM, counts_of, mix, pieces
+from ragloom.llm.words import NOT_ALNUM, counts_of, lcs_bits, mix, pieces
 
 PASSAGE, STRIDE, RANK, OVERSAMPLE, LONG = 32, 16, 80, 16, 64
 COSINE, LCS, PARAPHRASE, ANSWER = 0.4, 0.75, 0.55, 0.8
@@ -147,20 +147,6 @@ def latent(omega: np.ndarray, y: np.ndarray, rank: int) -> np.ndarray:
     return (places / np.maximum(np.linalg.norm(places, axis=1), 1e-300)[:, None]).astype(np.float32)
 
 
-def lcs_bits(item: list[int], text: Iterable[int]) -> int:
-    """Length of the longest common subsequence; a bit of an int per word of item."""
-    where: dict[int, int] = {}
-    for i, w in enumerate(item):
-        where[w] = where.get(w, 0) | 1 << i
-    full = (1 << len(item)) - 1
-    v = full
-    for w in text:
-        u = v & where.get(w, 0)
-        if u:
-            v = ((v + u) | (v - u)) & full
-    return len(item) - v.bit_count()
-
-
 class Items:
     def __init__(self, rows: list[tuple[str | None, str]]):
         self.rows = [(i, p.hash, _answer_words(t, len(p.hash))) for i, t in rows if isinstance(t, str) for p in [next(pieces([t], NOT_ALNUM))] if len(p.hash)]

@@ -7,9 +7,9 @@ window in both directions; attention weights the states; a logistic unit
 scores the pooled state. A text's score is its highest window's.
 
 Training: on the driver, from at most ``SAMPLE`` labelled documents of each
-class (those with the smallest hash of doc_id; of these, documents over
-``MOST_CHARS`` characters are passed over), never from held-out rows
-(crc32 of doc_id as text, mod 5, is 0). Labels are of whole texts, so a toxic
+class (those with the smallest hash of doc_id, in that order, until
+``SAMPLE_CHARS`` characters of whole texts are in the sample of that class),
+never from held-out rows (crc32 of doc_id as text, mod 5, is 0). Labels are of whole texts, so a toxic
 text's training window is the one the model, at first the log odds of its
 words, finds most toxic; texts that are not toxic give their most suspect
 windows. Vectors start from log odds in the sample. Scoring covers all
@@ -17,7 +17,9 @@ windows of all texts; nothing but the text enters a score.
 
 Defined cases: null, empty and word-less texts score 0; without labels of both
 classes every text scores the share of the class there is; a row without
-doc_id is not held out; rows that repeat score alike; other columns are ignored.
+doc_id is not held out; rows that repeat score alike, of labels that differ for
+one doc_id the higher counts, of its texts the shortest is learnt from; a very
+long text is scored whole; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from ragloom.llm.words import SPACES, Piece, counts_of, mix, pieces
 LENGTH, STRIDE = 48, 32
 WORD_BITS, CHAR_BITS, DIM, HIDDEN = 17, 16, 4, 8
 PREFIXES = (3, 4, 5, 6)
-SAMPLE, MOST_CHARS = 2000, 20_000
+SAMPLE, SAMPLE_CHARS = 2000, 12_000_000
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 5
 SUPPORT, PRIOR = 3, 4.0
 #: Punctuation does not belong to a word here.
@@ -285,8 +287,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     ids = [r for y in (1, 0) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     if not ids:
         return [], []
-    picked = F.broadcast(docs.sparkSession.createDataFrame([(int(r["doc_id"]), int(r["y"])) for r in ids], "doc_id long, y int"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= MOST_CHARS).join(picked, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    listed = docs.sparkSession.createDataFrame([(int(r["doc_id"]), int(r["y"]), k) for k, r in enumerate(ids)], "doc_id long, y int, k int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    sizes = texts.select("doc_id", F.length("text").alias("n")).join(F.broadcast(listed), "doc_id").groupBy("doc_id", "y", "k").agg(F.min("n").alias("n")).orderBy("k").collect()  # of 2 SAMPLE documents at most
+    held, whole = {0: 0, 1: 0}, []
+    for r in sizes:
+        if held[r["y"]] < SAMPLE_CHARS:
+            held[r["y"]] += r["n"]
+            whole.append((r["doc_id"], r["y"]))
+    picked = F.broadcast(docs.sparkSession.createDataFrame(whole, "doc_id long, y int"))
+    rows = texts.join(picked, "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.length("text"), "text")).alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [r["y"] for r in rows]
 
@@ -298,9 +308,10 @@ def score(docs: DataFrame, model) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             s = model.score(b["text"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(run, OUT)
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")  # pandas keeps text whole beside nulls
+    return named.mapInPandas(run, OUT.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ A package holds ``archive/data.warc.gz`` (each record its own gzip member) and
 The reader finds the end record at the file's tail, follows the ZIP64 locator
 where sizes or offsets need it, parses the central directory, and turns each
 stored archive member into byte ranges: by its index ranges of whole records,
-without an index the member as one range. Ranges are read with seeks, so one
-huge package is read by many tasks; memory is one range's records at a time.
+without an index the member as one range, which is streamed. Ranges are read with seeks, so one
+huge package is read by many tasks; memory is one record and ``RANGE_BYTES`` of
+rows at a time. Payloads stay where they are read up to ``BROADCAST_DIGESTS``
+repeated digests; beyond, they are dealt once, by digest and salt.
 
 Files are opened with ``pyarrow.fs`` by URI (file, hdfs, s3, gs). A writing
 task names its file after its attempt; the manifest, committed by Spark, holds
@@ -17,7 +19,8 @@ Payload rule: of records with equal payloads of ``MIN_REVISIT`` bytes or more
 the one with the smallest page_id is the response, the others revisit it.
 Defined cases: null html is an empty payload; null url gives no target; a
 null page_id comes back null and never is what others refer to; rows that
-repeat the response's page_id are responses as well; no rows, no records;
+repeat the response's page_id are responses as well; a very long payload is one
+record, held whole by the task that writes or reads it; no rows, no records;
 other columns are ignored.
 """
 
@@ -70,20 +73,38 @@ def record(page, url, payload: bytes, digest: str, kind: str, refers) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def records(stream: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each gzip member."""
-    while stream:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(stream) + z.flush()
-        if not z.eof:
-            raise ValueError("record cut off")
-        stream = z.unused_data
-        head, _, rest = raw.partition(b"\r\n\r\n")
-        lines = head.decode("utf-8", "surrogatepass").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("not a WARC record")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        yield headers, rest[: int(headers["Content-Length"])]
+def records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each gzip member; one record is held at a time."""
+    parts: list[bytes] = []
+    z = zlib.decompressobj(31)
+    for chunk in chunks:
+        while chunk:
+            parts.append(z.decompress(chunk))
+            chunk = z.unused_data
+            if z.eof:
+                yield _parsed(b"".join(parts))
+                parts, z = [], zlib.decompressobj(31)
+    if parts:
+        raise ValueError("record cut off")
+
+
+def _parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("not a WARC record")
+    headers = dict(x.split(": ", 1) for x in lines[1:])
+    return headers, rest[: int(headers["Content-Length"])]
+
+
+def _chunks(f, offset: int, length: int) -> Iterator[bytes]:
+    f.seek(offset)
+    while length:
+        chunk = f.read(min(length, 1 << 20))
+        if not chunk:
+            raise ValueError("file cut off")
+        length -= len(chunk)
+        yield chunk
 
 
 def _open(uri: str, mode: str):
@@ -208,20 +229,18 @@ def ranges(uri: str, most: int = RANGE_BYTES) -> Iterator[tuple[int, int]]:
 def read_range(uri: str, offset: int, length: int) -> Iterator[tuple]:
     """page, url, payload bytes, digest, type, refers, payload (null for revisits)."""
     with _open(uri, "r") as f:
-        f.seek(offset)
-        raw = f.read(length)
-    for headers, block in records(raw):
-        http, _, payload = block.partition(b"\r\n\r\n")
-        said = headers["WARC-Payload-Digest"].removeprefix("sha256:")
-        url = headers.get("WARC-Target-URI")
-        url = url if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-        if headers["WARC-Type"] == "revisit":
-            n = int(http.decode().rpartition("Content-Length: ")[2])
-            yield _page(headers["WARC-Record-ID"]), url, n, said, "revisit", _page(headers["WARC-Refers-To"]), None
-        else:
-            if hashlib.sha256(payload).hexdigest() != said:
-                raise ValueError(f"{headers['WARC-Record-ID']}: payload does not have the digest it is filed under")
-            yield _page(headers["WARC-Record-ID"]), url, len(payload), said, "response", None, payload
+        for headers, block in records(_chunks(f, offset, length)):
+            http, _, payload = block.partition(b"\r\n\r\n")
+            said = headers["WARC-Payload-Digest"].removeprefix("sha256:")
+            url = headers.get("WARC-Target-URI")
+            url = url if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+            if headers["WARC-Type"] == "revisit":
+                n = int(http.decode().rpartition("Content-Length: ")[2])
+                yield _page(headers["WARC-Record-ID"]), url, n, said, "revisit", _page(headers["WARC-Refers-To"]), None
+            else:
+                if hashlib.sha256(payload).hexdigest() != said:
+                    raise ValueError(f"{headers['WARC-Record-ID']}: payload does not have the digest it is filed under")
+                yield _page(headers["WARC-Record-ID"]), url, len(payload), said, "response", None, payload
 
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -235,7 +254,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     groups = materialize(groups, "warc-equal")
     planned = attach(rows, groups, ["digest"], groups.count(), BROADCAST_DIGESTS, ["page_id", "digest"])
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    planned = planned.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("_first")).alias("refers"))
+    planned = planned.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("_first")).cast("string").alias("refers"))  # pandas keeps text whole beside nulls
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
@@ -250,6 +269,10 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
 def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """All records of the packages in manifest (path)."""
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")], dtype=object)
+        return out.assign(**{c: pd.array(out[c].tolist(), dtype="Int64") for c in ("page_id", "refers_to")})
+
     def locate(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for uri in b["path"]:
@@ -258,8 +281,15 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     def fetch(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in zip(b["path"], b["offset"], b["length"], strict=True):
-                out = pd.DataFrame(list(read_range(*r)), columns=[c.split()[0] for c in OUT.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
-                yield out if payloads else out.assign(payload=None)
+                held, size = [], 0
+                for row in read_range(*r):
+                    held.append(row if payloads else (*row[:-1], None))
+                    size += len(row[-1] or b"") * payloads + 256
+                    if size >= RANGE_BYTES:
+                        yield frame(held)
+                        held, size = [], 0
+                if held:
+                    yield frame(held)
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return manifest.select("path").mapInPandas(locate, "path string, offset long, length long").repartition(n).mapInPandas(fetch, OUT)

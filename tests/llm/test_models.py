@@ -9,6 +9,7 @@ import pytest
 
 import corpus_pipeline
 from ragloom.llm import decontaminate, line_dedup, mixing, quality, queries, toxicity
+from ragloom.llm.words import lcs_bits
 from tests.llm.test_native import drop
 from tests.llm.test_ngram_join import brute
 
@@ -72,6 +73,17 @@ def test_held_out_labels_do_not_matter(spark):
     assert a == b and len(a[0]) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(300))
 
 
+def test_sample_takes_long_texts_whole_until_it_is_full(spark, monkeypatch):
+    rows = [(i, ("w%d " % i) * (30_000 if i % 2 else 10)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 == 0) for i, _ in rows], "doc_id long, toxic boolean").selectExpr("doc_id", "int(toxic) as toxic")
+    texts, _ = toxicity.sample(docs, labels)
+    assert set(texts) == {t for i, t in rows if zlib.crc32(str(i).encode()) % 5}
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 200_000)
+    fewer, y = toxicity.sample(docs, labels)
+    assert set(fewer) < set(texts) and {0, 1} == set(y) and max(map(len, fewer)) > 20_000
+
+
 def test_one_class_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
@@ -100,7 +112,7 @@ def test_bit_parallel_subsequence():
     rng = random.Random(0)
     for _ in range(200):
         a, b = ([rng.randrange(5) for _ in range(rng.randint(1, 90))] for _ in "ab")
-        assert decontaminate.lcs_bits(a, b) == lcs(a, b)
+        assert lcs_bits(a, b) == lcs(a, b)
 
 
 def _bench(rng):
