@@ -151,7 +151,9 @@ def _scan(piece: Piece, index: Index, min_coverage: float) -> Iterator[tuple[int
     template, diagonal = index.template[entry], word - index.at[entry]
     order = np.lexsort((word, template, doc))
     doc, template, word, diagonal = doc[order], template[order], word[order], diagonal[order]
-    edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (template[1:] != template[:-1]))) if len(doc) else []
+    if not len(doc):
+        return
+    edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (template[1:] != template[:-1])))
     found: list[tuple[int, float, int, int, int, int]] = []
     for a, b in zip(edge, [*edge[1:], len(doc)], strict=True):
         d, t = int(doc[a]), int(template[a])

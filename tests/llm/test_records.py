@@ -231,6 +231,11 @@ def test_parts_insertions_and_kin(spark):
     assert [got[i]["coverage"] for i in (2, 3, 4, 5)] == [1] * 4 and got[1]["matched_words"] >= 70 and got[5]["start"] == 120
 
 
+def test_texts_without_any_hit(spark):
+    df = spark.createDataFrame([(1, "plain words only and more of them"), (2, None), (3, "")], "doc_id long, text string")
+    assert licenses.scan(df).count() == 0
+
+
 def every_alignment(template, text, gap=licenses.GAP):
     """Best local alignment by the whole table: score."""
     h = [[0.0] * (len(text) + 1) for _ in range(len(template) + 1)]
