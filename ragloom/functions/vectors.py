@@ -20,6 +20,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
+def finite(x: Column) -> Column:
+    """Null counts as not finite."""
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
 def violation(v: Column, dim: int) -> Column:
     """'dimension', 'not_finite' or null."""
-    return F.when(v.isNull() | (F.size(v) != dim), "dimension").when(~F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), "not_finite")
+    return F.when(v.isNull() | (F.size(v) != dim), "dimension").when(~F.forall(v, finite), "not_finite")

@@ -35,9 +35,12 @@ def duplicate_report(docs: DataFrame, text: str = "text", key: str = "doc_id") -
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The record with the smallest key of each text. Aggregates before the shuffle, so a text with many copies fills no task."""
-    first = docs.select(F.sha2(text, 256).alias("_h"), key).groupBy("_h").agg(F.min(key).alias(key)).select(key)
-    return docs.join(first, key, "left_semi")
+    """The record with the smallest key of each text; records without a key stay. Texts are hashed where they are read;
+    only the keys of later copies meet the records, so the planner can broadcast them."""
+    hashed = docs.select(F.sha2(text, 256).alias("_h"), key).where(F.col(key).isNotNull())
+    first = hashed.groupBy("_h").agg(F.min(key).alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _h is not null")
+    later = hashed.join(first, "_h").where(F.col(key) != F.col("_first")).select(key).distinct()
+    return docs.join(later, key, "left_anti").select(*docs.columns)
 
 
 def _holds_any(texts: list[str]) -> Column:

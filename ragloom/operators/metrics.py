@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-PERCENTILES = [0.5, 0.7, 0.95, 1.0]
+PERCENTILES = {"p50": 0.5, "p70": 0.7, "p95": 0.95, "p100": 1.0}
 
 
 def per_query(ranking: DataFrame, judged: DataFrame, k: int) -> DataFrame:
@@ -24,10 +25,37 @@ def mean(scores: DataFrame, *by: str) -> DataFrame:
     return scores.groupBy(*by).agg(F.count("*").alias("queries"), *(F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("recall", "rr", "ndcg")))
 
 
-def percentiles(value: Column) -> list[Column]:
-    """P50, P70, P95, P100: exact, linear interpolation."""
-    p = F.percentile(value, F.array(*map(F.lit, PERCENTILES)))
-    return [F.round(p[i], 6).alias(f"p{int(100 * q)}") for i, q in enumerate(PERCENTILES)]
+#: Cells between a group's least and greatest value by which its percentiles are sought.
+CELLS = 4096
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], digits: int = 6) -> DataFrame:
+    """by, requests, least and greatest value (_least, _most), and for each name in shares the exact percentile with linear
+    interpolation. First values are counted in ``CELLS`` cells a group, then only those of the cells that hold a
+    wanted rank are counted one by one, so no group's values are in one task. Nulls are not counted."""
+    given = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    ends = given.groupBy(*by).agg(F.count("*").alias("requests"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    width = F.col("_most") - F.col("_least")
+    cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_least")) / width * CELLS), F.lit(CELLS - 1))).otherwise(0).cast("int")
+    placed = _beside(given, ends, by).select(*by, "_v", "requests", cell.alias("_cell"))
+    at = {name: (F.col("requests") - 1) * F.lit(share) for name, share in shares.items()}
+    ranks = F.array(*(f(x).cast("long") for x in at.values() for f in (F.floor, F.ceil)))
+    running = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    cells = placed.groupBy(*by, "requests", "_cell").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(running))
+    wanted = cells.where(F.exists(ranks, lambda r: (r >= F.col("_upto") - F.col("_n")) & (r < F.col("_upto")))).select(*by, "_cell", (F.col("_upto") - F.col("_n")).alias("_before"))
+    inside = _beside(placed, wanted, [*by, "_cell"]).groupBy(*by, "requests", "_cell", "_before", "_v").agg(F.count("*").alias("_n"))
+    order = W.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = inside.withColumn("_upto", F.col("_before") + F.sum("_n").over(order))
+    value_at = lambda r: F.max(F.when((r >= F.col("_upto") - F.col("_n")) & (r < F.col("_upto")), F.col("_v")))
+    found = ranked.groupBy(*by, "requests").agg(*(value_at(f(x).cast("long")).alias(f"_{name}_{f.__name__}") for name, x in at.items() for f in (F.floor, F.ceil)))
+    low, high = (lambda name, f=f: F.col(f"_{name}_{f}") for f in ("floor", "ceil"))
+    done = found.select(*by, *(F.round(low(name) + (x - F.floor(x)) * (high(name) - low(name)), digits).alias(name) for name, x in at.items()))
+    return ends.join(done, by)
+
+
+def _beside(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the row of their group; groups are few here (a row a group, or a row a wanted cell), so they are broadcast."""
+    return rows.join(F.broadcast(groups), by)
 
 
 def prf(predicted: Column, truth: Column) -> list[Column]:

@@ -17,47 +17,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ragloom.functions import vectors
+
 QUERY_BLOCK = 4096
+#: Scores a task holds at once (8 bytes each).
+SCORES = 1 << 21
+#: Hits whose ids are sent to every executor, so that only their payload moves.
+BROADCAST_HITS = 500_000
 #: Scores are compared after rounding to 6 digits; so much more than the k-th must be kept before.
 SLACK = 2e-6
 
 
-def _matrix(vectors: Iterable, dim: int) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros((0, dim))
+def _unit(vectors: list) -> np.ndarray:
+    m = np.stack([np.asarray(v, np.float64) for v in vectors])
+    n = np.linalg.norm(m, axis=1)
+    return np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0)
 
 
 def _best(batches: Iterable[pd.DataFrame], ids: np.ndarray, unit: np.ndarray, k: int, floor: float | None) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        keep = [v is not None and len(v) == unit.shape[1] for v in b["vector"]]
-        b = b[keep]
-        if not len(b):
-            continue
-        m = _matrix(b["vector"].tolist(), unit.shape[1])
-        n = np.linalg.norm(m, axis=1)
-        scores = unit @ np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0).T
-        least = np.full(len(ids), -np.inf) if scores.shape[1] <= k else np.partition(scores, -k, axis=1)[:, -k] - SLACK
-        if floor is not None:
-            least = np.maximum(least, floor - SLACK)
-        q, c = np.nonzero(scores >= least[:, None])
-        yield pd.DataFrame({"query_id": ids[q], "item_id": b["id"].to_numpy()[c], "score": scores[q, c]})
+    rows = max(k + 1, SCORES // len(ids))
+    for whole in batches:
+        for a in range(0, len(whole), rows):
+            b = whole.iloc[a : a + rows]
+            m = _unit(b["vector"].tolist())
+            scores = unit @ m.T
+            least = np.full(len(ids), -np.inf) if scores.shape[1] <= k else np.partition(scores, -k, axis=1)[:, -k] - SLACK
+            if floor is not None:
+                least = np.maximum(least, floor - SLACK)
+            q, c = np.nonzero(scores >= least[:, None])
+            yield pd.DataFrame({"query_id": ids[q], "item_id": b["id"].to_numpy()[c], "score": scores[q, c]})
 
 
 def scored(queries: DataFrame, corpus: DataFrame, k: int, floor: float | None = None) -> DataFrame:
-    """queries (query_id, vector), corpus (id, vector): query_id, item_id, score of all that can be among the k best."""
+    """queries (query_id, vector), corpus (id, vector): query_id, item_id, score of all that can be among the k best.
+
+    Vectors that are null, have a value that is null or not finite, or another dimension than the queries take no part."""
     spark = queries.sparkSession
-    blocks = -(-queries.count() // QUERY_BLOCK)
+    sound = lambda df, key: df.select(F.col(key).cast("long").alias(key), "vector").where(F.col(key).isNotNull() & (F.size("vector") > 0) & F.forall("vector", vectors.finite))
+    queries, found = sound(queries, "query_id"), sound(corpus, "id")
+    sizes = [(r[0], r[1]) for r in queries.groupBy(F.size("vector")).count().collect()]  # a row for each dimension there is
     out = None
-    for i in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
-        rows = mine.select("query_id", "vector").collect()
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows], np.int64)
-        m = _matrix([r[1] for r in rows], 0)
-        n = np.linalg.norm(m, axis=1)
-        unit = np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0)
-        part = corpus.select("id", "vector").mapInPandas(lambda b, ids=ids, unit=unit: _best(b, ids, unit, k, floor), "query_id long, item_id long, score double")
-        out = part if out is None else out.unionByName(part)
+    for dim, count in sizes:
+        same, blocks = queries.where(F.size("vector") == dim), -(-count // QUERY_BLOCK)
+        for i in range(blocks):
+            rows = (same.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else same).collect()
+            if not rows:
+                continue
+            ids, unit = np.array([r[0] for r in rows], np.int64), _unit([r[1] for r in rows])
+            part = found.where(F.size("vector") == dim).mapInPandas(lambda b, ids=ids, unit=unit: _best(b, ids, unit, k, floor), "query_id long, item_id long, score double")
+            out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "query_id long, item_id long, score double")
 
 
@@ -90,6 +98,9 @@ def rerank_faults(before: DataFrame, after: DataFrame) -> DataFrame:
     return lost.unionByName(after.join(before, keys, "left_anti").select(*keys, F.lit("invented").alias("fault")))
 
 
-def hydrate(hits: DataFrame, payload: DataFrame) -> DataFrame:
-    """Payload (item_id, ...) of the hits; hits are the small side, the planner decides by their size."""
+def hydrate(hits: DataFrame, payload: DataFrame, most: int | None = None) -> DataFrame:
+    """hits with their payload (item_id, ...), null where there is none. most: how many hits there are at most (queries
+    times k); up to ``BROADCAST_HITS`` their ids are broadcast, so that no payload but theirs is shuffled."""
+    if most is not None and most <= BROADCAST_HITS:
+        payload = payload.join(F.broadcast(hits.select("item_id").distinct()), "item_id")
     return hits.join(payload, "item_id", "left")

@@ -28,19 +28,21 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_QUERIES = f"""q AS (SELECT conv_id || '-' || turn AS request_id, conv_id, turn, text AS query, {SQL_LOCALES}[(conv_id % 11 + 1)::INT] AS language, conv_id::VARCHAR AS session_id
     FROM conversations WHERE role = 'user')"""
 
-N_QUERIES = 10
+#: Queries of a search are all rows whose id is divisible by this; they search all rows, their own included.
+QUERY_EVERY = 100
+_IS_QUERY = f"vec_id % {QUERY_EVERY} = 0"
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("query_label"))
+    return table(spark, sf_dir, "embeddings").where(_IS_QUERY).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("query_label"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") >= N_QUERIES).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
 SQL_SCORES = f"""scores AS (SELECT q.vec_id AS query_id, c.vec_id AS item_id, q.label AS query_label, c.label AS label,
-    round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id < {N_QUERIES} AND c.vec_id >= {N_QUERIES})"""
+    round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings c WHERE q.{_IS_QUERY})"""
 
 
 def sql_top(k: int, where: str = "true", source: str = "scores", by: str = "score", name: str = "rank") -> str:
@@ -48,11 +50,12 @@ def sql_top(k: int, where: str = "true", source: str = "scores", by: str = "scor
 
 
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, c = vector_queries(spark, sf_dir), corpus(spark, sf_dir)
-    return q.join(c, q["query_label"] == c["label"]).select("query_id", F.col("id").alias("item_id"))
+    """Relevant to a query are the rows of its label among the hundred ids that begin with its own."""
+    q, c = vector_queries(spark, sf_dir), corpus(spark, sf_dir).withColumn("_q", F.floor(F.col("id") / QUERY_EVERY) * QUERY_EVERY)
+    return q.join(c, (q["query_id"] == c["_q"]) & (q["query_label"] == c["label"])).select("query_id", F.col("id").alias("item_id"))
 
 
-SQL_JUDGED = f"judged AS (SELECT q.vec_id AS query_id, c.vec_id AS item_id FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id < {N_QUERIES} AND c.vec_id >= {N_QUERIES})"
+SQL_JUDGED = f"judged AS (SELECT q.vec_id AS query_id, c.vec_id AS item_id FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id = c.vec_id // {QUERY_EVERY} * {QUERY_EVERY} WHERE q.{_IS_QUERY})"
 
 
 def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:

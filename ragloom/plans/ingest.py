@@ -154,21 +154,29 @@ def index_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.summary(_points(spark, sf_dir), 64).select("*", F.lit("hash-64").alias("model"), F.lit("cosine").alias("distance"), F.lit(64).alias("dimension"))
 
 
-@query(_SQL_SUMMARY.format(", true AS ready"))
+_SQL_VERIFY = _SQL_SUMMARY.format(", {} AS ready") + " WHERE {}"
+
+
+@query(f"SELECT 'whole' AS state, * FROM ({_SQL_VERIFY.format('true', 'true')}) UNION ALL SELECT 'lacking', * FROM ({_SQL_VERIFY.format('false', 'vec_id <> 7')})")
 def index_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points against the number that their manifest gives: all there, and one missing."""
     p = _points(spark, sf_dir)
-    return index.verify(p, 64, p.count())
+    expected = p.count()  # what write_snapshot puts into the manifest
+    check = lambda points, state: index.verify(points, 64, expected).select(F.lit(state).alias("state"), "*")
+    return check(p, "whole").unionByName(check(p.where("point_id != 7"), "lacking"))
 
 
 _SQL_TOKENS = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}]+'))"
 _A, _C = _SQL_TOKENS.format("a"), _SQL_TOKENS.format("c")
-_SQL_GROUNDING = f"g AS (SELECT d.doc_id, quality, round(CASE WHEN len({_A}) > 0 THEN len(list_intersect({_A}, {_C})) / len({_A}) ELSE 0 END, 6) AS score FROM (SELECT doc_id, substr(text, (doc_id % 3) * 150 + 1, 200) AS a, substr(text, 1, 400) AS c FROM documents) d LEFT JOIN labels USING (doc_id))"
+_SQL_GROUNDING = f"g AS (SELECT d.doc_id, quality, round(CASE WHEN len({_A}) > 0 THEN len(list_intersect({_A}, {_C})) / len({_A}) ELSE 0 END, 6) AS score FROM (SELECT c.doc_id, a.text AS a, c.text AS c FROM documents c JOIN documents a ON a.doc_id = c.doc_id - c.doc_id % 3) d LEFT JOIN labels USING (doc_id))"
 
 
 def _grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir)
-    a = F.substring("text", (F.col("doc_id") % 3 * 150 + 1).cast("int"), F.lit(200))
-    scored = d.select("doc_id", "lang", F.round(answers.overlap(a, F.substring("text", 1, 400)), 6).alias("score"))
+    """The whole text of every third document stands for an answer, the whole texts of it and the two after it for contexts."""
+    d = _docs(spark, sf_dir).select("doc_id", "lang", "text")
+    answer = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("_a"), F.col("text").alias("answer"))
+    both = d.withColumn("_a", F.col("doc_id") - F.col("doc_id") % 3).join(answer, "_a")
+    scored = both.select("doc_id", "lang", F.round(answers.overlap(F.col("answer"), F.col("text")), 6).alias("score"))
     return scored.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
 
 
@@ -190,20 +198,17 @@ def grounded_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.rollup("lang").agg(F.grouping("lang").cast("int").alias("is_total"), F.count("*").alias("answers"), F.round(F.avg((F.col("score") < answers.GROUNDED_AT).cast("double")), 6).alias("not_grounded"))
 
 
-_TURNS = 3
-
-
-@query(f"""WITH {SQL_QUERIES}, c AS (SELECT conv_id, string_agg('[' || r || '] ' || t, chr(10) ORDER BY r) AS context FROM (SELECT conv_id, text AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'assistant') WHERE r <= {_TURNS} GROUP BY conv_id)
+@query(f"""WITH {SQL_QUERIES}, c AS (SELECT conv_id, string_agg('[' || r || '] ' || t, chr(10) ORDER BY r) AS context FROM (SELECT conv_id, text AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'assistant') GROUP BY conv_id)
     SELECT request_id, 'Answer in ' || language || ' and only from the context.' || chr(10) || 'Context:' || chr(10) || context || chr(10) || 'Question: ' || query AS prompt FROM q JOIN c USING (conv_id)""")
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation's first answers stand for the context."""
+    """A conversation's answers, all of them, stand for the context."""
     q, c = queries(spark, sf_dir), _context(spark, sf_dir)
     return q.join(c, "conv_id").select("request_id", answers.prompt(F.col("query"), F.col("context"), F.col("language")).alias("prompt"))
 
 
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    turns = F.slice(F.sort_array(F.collect_list(F.struct("turn", "text"))), 1, _TURNS)
+    turns = F.sort_array(F.collect_list(F.struct("turn", "text")))
     return told.groupBy("conv_id").agg(turns.alias("_t")).select("conv_id", F.col("_t.text").alias("context"))
 
 
@@ -211,10 +216,10 @@ _Q_TOKENS = _SQL_TOKENS.format("query")
 _S_TOKENS = _SQL_TOKENS.format("s")
 
 
-@query(f"""WITH {SQL_QUERIES}, c AS (SELECT conv_id, arg_min(text, turn) AS context FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+@query(f"""WITH {SQL_QUERIES}, c AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS context FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
     s AS (SELECT request_id, query, unnest(list_filter(list_transform(regexp_extract_all(context, '[^.!?।]+[.!?।]*'), lambda x: trim(x)), lambda x: length(x) > 0)) AS s, generate_subscripts(list_filter(list_transform(regexp_extract_all(context, '[^.!?।]+[.!?।]*'), lambda x: trim(x)), lambda x: length(x) > 0), 1) AS i FROM q JOIN c USING (conv_id)),
     r AS (SELECT request_id, s, row_number() OVER (PARTITION BY request_id ORDER BY len(list_intersect({_Q_TOKENS}, {_S_TOKENS})) DESC, i) AS r FROM s)
     SELECT request_id, s AS answer FROM r WHERE r = 1""")
 def fixture_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("context"))
-    return queries(spark, sf_dir).join(first, "conv_id").select("request_id", answers.extractive(F.col("query"), F.col("context")).alias("answer")).where("answer IS NOT NULL")
+    told = _context(spark, sf_dir).select("conv_id", F.array_join("context", "\n").alias("context"))
+    return queries(spark, sf_dir).join(told, "conv_id").select("request_id", answers.extractive(F.col("query"), F.col("context")).alias("answer")).where("answer IS NOT NULL")

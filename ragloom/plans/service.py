@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ragloom.functions import contracts as rules
 from ragloom.functions.fixed import COMPLETIONS, ERRORS, SLO_MS, STAGES
 from ragloom.operators import answers, metrics, sessions
 from ragloom.plans.fixtures import SQL_LATENCIES, SQL_MESSAGES, latencies, messages, pick, table
@@ -59,17 +60,20 @@ def session_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.machine(messages(spark, sf_dir))
 
 
-_DATA_KEY = "CASE type WHEN 'error' THEN 'code' WHEN 'complete' THEN 'status' WHEN 'processing' THEN 'stage' END"
+_SQL_DATA = f"""CASE type WHEN 'processing' THEN '{{"stage":"' || detail || '"}}' WHEN 'complete' THEN '{{"status":"' || detail || '"}}'
+    WHEN 'error' THEN '{{"code":"' || detail || '","message":"' || lower(replace(detail, '_', ' ')) || '","retryable":false}}'
+    WHEN 'transcript' THEN '{{"text":"","language":"' || detail || '","is_final":true}}'
+    WHEN 'answer' THEN '{{"answer":"' || detail || ' bytes of audio","grounded":false,"sources":[]}}' END"""
 
 
-@query(f"""WITH {_SQL_MACHINE} SELECT connection, seq, ordinal::INT AS ordinal, '{{"type":"' || type || '","request_id":"' || request_id || '","timestamp":"' || strftime(make_timestamp((seq // 1000)), '%Y-%m-%dT%H:%M:%S') || 'Z","data":{{"' || {_DATA_KEY} || '":"' || detail || '"}}}}' AS json
-    FROM events_out WHERE type IN ('error', 'complete', 'processing')""")
+@query(f"""WITH {_SQL_MACHINE}, e AS (SELECT *, strftime(make_timestamp((seq // 1000)), '%Y-%m-%dT%H:%M:%S') || 'Z' AS stamp, {_SQL_DATA} AS data FROM events_out WHERE type <> 'warning')
+    SELECT connection, seq, ordinal::INT AS ordinal, '{{"type":"' || type || '","request_id":"' || request_id || '","timestamp":"' || stamp || '","data":' || data || '}}' AS json, CASE WHEN request_id = '' THEN 'request_id' ELSE '' END AS violations FROM e""")
 def server_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as JSON; keys without a value are left out, as the contract allows no nulls there."""
-    e = sessions.machine(messages(spark, sf_dir)).where(F.col("type").isin("error", "complete", "processing"))
+    """All five kinds of event as JSON, and the rules of the contract that each violates: only a cancel before any start,
+    which has no request to name."""
     at = F.date_format(F.timestamp_micros(F.expr("seq div 1000")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    data = F.struct(*(F.when(F.col("type") == t, F.col("detail")).alias(k) for t, k in (("error", "code"), ("complete", "status"), ("processing", "stage"))))
-    return e.select("connection", "seq", "ordinal", F.to_json(F.struct("type", "request_id", at.alias("timestamp"), data.alias("data"))).alias("json"))
+    e = sessions.wire(sessions.machine(messages(spark, sf_dir)), at)
+    return e.select("connection", "seq", "ordinal", "json", rules.server_event(F.col("type"), F.col("request_id"), F.col("timestamp"), F.col("data")).alias("violations"))
 
 
 @query(f"SELECT event_id, i::INT AS position, [{', '.join(repr(s) for s in STAGES)}][i + 1] AS stage FROM events, range(0, {len(STAGES)}) r(i) WHERE event_type = 'purchase'")
@@ -115,7 +119,7 @@ def error_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SQL_LATENCIES} SELECT event_type, count(*) AS requests, round(quantile_cont(total_ms, 0.5), 6) AS p50, round(quantile_cont(total_ms, 0.7), 6) AS p70, round(quantile_cont(total_ms, 0.95), 6) AS p95, round(max(total_ms), 6) AS p100 FROM lat GROUP BY event_type""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latencies(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("requests"), *metrics.percentiles(F.col("total_ms")))
+    return metrics.percentiles(latencies(spark, sf_dir), ["event_type"], "total_ms", metrics.PERCENTILES).drop("_least", "_most")
 
 
 @query(f"WITH {SQL_LATENCIES} SELECT event_type, max(total_ms) AS p100, max(total_ms) < {SLO_MS} AS met, count(*) FILTER (total_ms >= {SLO_MS}) AS over FROM lat WHERE event_type <> 'error' GROUP BY event_type")
@@ -130,7 +134,9 @@ _STAGE_MS = ["embedding_ms", "retrieval_ms", "reranking_ms", "generation_ms"]
 @query(f"WITH {SQL_LATENCIES}, u AS (UNPIVOT (SELECT {', '.join(_STAGE_MS)} FROM lat) ON {', '.join(_STAGE_MS)} INTO NAME stage VALUE ms) SELECT stage, count(*) AS measured, round(avg(ms), 4) AS mean_ms, round(max(ms), 4) AS most_ms, round(quantile_cont(ms, 0.95), 4) AS p95_ms FROM u GROUP BY stage")
 def stage_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     tall = latencies(spark, sf_dir).select(*_STAGE_MS).unpivot([], _STAGE_MS, "stage", "ms").where("ms IS NOT NULL")
-    return tall.groupBy("stage").agg(F.count("*").alias("measured"), F.round(F.avg("ms"), 4).alias("mean_ms"), F.round(F.max("ms"), 4).alias("most_ms"), F.round(F.percentile("ms", 0.95), 4).alias("p95_ms"))
+    means = tall.groupBy("stage").agg(F.round(F.avg("ms"), 4).alias("mean_ms"))
+    ranks = metrics.percentiles(tall, ["stage"], "ms", {"p95_ms": 0.95}, 4)
+    return ranks.join(means, "stage").select("stage", F.col("requests").alias("measured"), "mean_ms", F.round("_most", 4).alias("most_ms"), "p95_ms")
 
 
 @query(f"WITH {SQL_LATENCIES}, c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 AS cold FROM lat) SELECT cold, count(*) AS requests, round(quantile_cont(total_ms, 0.5), 6) AS p50, round(max(total_ms), 6) AS p100 FROM c GROUP BY cold")
@@ -138,7 +144,7 @@ def cold_steady(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user stands for a process; its first request is cold."""
     first = W.partitionBy("user_id").orderBy("ts", "event_id")
     rows = latencies(spark, sf_dir).withColumn("cold", F.row_number().over(first) == 1)
-    return rows.groupBy("cold").agg(F.count("*").alias("requests"), F.round(F.percentile("total_ms", 0.5), 6).alias("p50"), F.round(F.max("total_ms"), 6).alias("p100"))
+    return metrics.percentiles(rows, ["cold"], "total_ms", {"p50": 0.5, "p100": 1.0}).select("cold", "requests", "p50", "p100")
 
 
 _SUM_MS = "embedding_ms + retrieval_ms + coalesce(reranking_ms, 0) + generation_ms"

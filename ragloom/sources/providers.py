@@ -1,8 +1,8 @@
 """Speech-to-text, engine and embedding providers behind one protocol, with retries, and the fixtures used in tests.
 
 A provider is a factory called once per partition; what it returns is called
-per row. Only fixtures exist here: live clients are passed in. ``select_stt``
-and ``select_engine`` fail closed in production.
+per row. Fixtures are here, live clients in ``http``. ``select_stt`` and
+``select_engine`` fail closed in production.
 """
 
 from __future__ import annotations
@@ -54,6 +54,7 @@ class Provider:
     name: str
     start: Callable[[], Callable[[dict], dict]]
     fixture: bool = False
+    health: Callable[[], bool] = lambda: True
 
 
 def fixture_stt() -> Provider:
@@ -99,11 +100,12 @@ def endpoint(url: str) -> str:
     return url.rstrip("/")
 
 
-def apply(df: DataFrame, provider: Provider, output: dict[str, str], sleep: Callable[[float], None] | None = None) -> DataFrame:
-    """df with the provider's output columns, and error_code, error_message, retryable where it failed. One client a partition."""
+def apply(df: DataFrame, provider: Provider, output: dict[str, str], sleep: Callable[[float], None] | None = None, kind: str = "STT", attempts: int = ATTEMPTS) -> DataFrame:
+    """df with the provider's output columns, elapsed_ms, and error_code, error_message, retryable where it failed: any
+    error that is no ProviderError is a <kind>_ERROR. One client a partition."""
     schema = T.StructType(list(df.schema.fields))
-    for name, kind in (output | {"error_code": "string", "error_message": "string", "retryable": "boolean"}).items():
-        schema.add(name, kind)
+    for name, of in (output | {"elapsed_ms": "double", "error_code": "string", "error_message": "string", "retryable": "boolean"}).items():
+        schema.add(name, of)
     names = list(output)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,12 +113,15 @@ def apply(df: DataFrame, provider: Provider, output: dict[str, str], sleep: Call
         for b in batches:
             rows = []
             for row in b.to_dict("records"):
+                began, got, fault = time.perf_counter(), {}, [None, None, None]
                 try:
-                    got = with_retries(lambda row=row: call(row), sleep=sleep or time.sleep)
-                    rows.append([got.get(n) for n in names] + [None, None, None])
+                    got = with_retries(lambda row=row: call(row), attempts, sleep=sleep or time.sleep)
                 except ProviderError as e:
-                    rows.append([None] * len(names) + [e.code, str(e), e.retryable])
-            more = pd.DataFrame(rows, columns=[*names, "error_code", "error_message", "retryable"], index=b.index, dtype=object)
+                    fault = [e.code, str(e), e.retryable]
+                except Exception as e:  # noqa: BLE001  whatever a client raises fails its row, not the job
+                    fault = [f"{kind}_ERROR", f"{type(e).__name__}: {e}"[:300], True]
+                rows.append([got.get(n) for n in names] + [round(1000 * (time.perf_counter() - began), 1), *fault])
+            more = pd.DataFrame(rows, columns=[*names, "elapsed_ms", "error_code", "error_message", "retryable"], index=b.index, dtype=object)
             yield pd.concat([b, more], axis=1)
 
     return df.mapInPandas(run, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ragloom.operators.sessions import EVENTS, State, fold
+from ragloom.operators.sessions import EVENTS, Limits, State, fold
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -18,23 +18,29 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 class Machine(StatefulProcessor):
     """State of a connection in a value, until the connection's disconnect; expiry by the clock would keep a triggered run from ending."""
 
+    def __init__(self, limits: Limits):
+        self.limits = limits
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", T.StructType([T.StructField("value", T.StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state = State.load(self.state.get()[0]) if self.state.exists() else State()
         batch = pd.concat(list(rows))
-        yield fold(batch, state)
-        self.state.update((state.dump(),))
+        yield fold(batch, state, self.limits)
+        if state == State():  # after a disconnect nothing is held
+            self.state.clear()
+        else:
+            self.state.update((state.dump(),))
 
     def close(self) -> None:
         pass
 
 
-def machine(messages: DataFrame) -> DataFrame:
+def machine(messages: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """Server events of a stream of messages; set spark.sql.streaming.stateStore.providerClass to ``STORE``."""
     named = messages.select(F.col("connection").cast("string").alias("connection"), "seq", "kind", "bytes", "payload")
-    return named.groupBy("connection").transformWithStateInPandas(Machine(), outputStructType=T._parse_datatype_string(EVENTS), outputMode="Append", timeMode="None")
+    return named.groupBy("connection").transformWithStateInPandas(Machine(limits), outputStructType=T._parse_datatype_string(EVENTS), outputMode="Append", timeMode="None")
 
 
 def joined(frames: DataFrame, starts: DataFrame, within: str = "1 hour") -> DataFrame:

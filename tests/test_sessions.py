@@ -5,7 +5,7 @@ import json
 import pandas as pd
 
 from ragloom.operators import sessions
-from ragloom.operators.sessions import State, step
+from ragloom.operators.sessions import Limits, State, step
 
 START = json.dumps({"type": "session_start", "request_id": "r1", "language": "hi-IN", "session_id": "s"})
 END = json.dumps({"type": "audio_end", "request_id": "r1"})
@@ -16,7 +16,7 @@ def run(*messages):
     state, out = State(), []
     for m in messages:
         kind, size, payload = ("binary", m, None) if isinstance(m, int) else ("disconnect", 0, None) if m is None else ("text", 0, m)
-        out += [(t, r, d) for t, r, d in step(state, kind, size, payload, limit=1000)]
+        out += [(t, r, d) for t, r, d in step(state, kind, size, payload, Limits(audio=1000))]
     return out, state
 
 
@@ -98,3 +98,18 @@ def test_null_connection_and_empty_table(spark):
 def test_fold_orders_by_seq():
     rows = pd.DataFrame([("a", 2, "text", None, END), ("a", 0, "text", None, START), ("a", 1, "binary", 9, None)], columns=["connection", "seq", "kind", "bytes", "payload"])
     assert sessions.fold(rows, State())["type"].iloc[-1] == "complete"
+
+
+def test_starts_without_id_get_their_own_and_connections_return():
+    bare = '{"type":"session_start"}'
+    rows = pd.DataFrame([("a", 0, "text", None, bare), ("a", 1, "binary", 9, None), ("a", 2, "text", None, END), ("a", 3, "disconnect", None, None), ("a", 4, "text", None, bare), ("a", 5, "binary", 9, None), ("a", 6, "text", None, END)], columns=["connection", "seq", "kind", "bytes", "payload"])
+    done = sessions.fold(rows, State())
+    ids = done[done["type"] == "complete"]["request_id"].tolist()
+    assert len(ids) == len(set(ids)) == 2 and list(done[done["type"] == "complete"]["detail"]) == ["success"] * 2
+
+
+def test_state_is_dropped_after_a_disconnect():
+    state = State()
+    for kind, payload in (("text", START), ("disconnect", None)):
+        step(state, kind, 0, payload)
+    assert state == State()
