@@ -20,7 +20,8 @@ permutation; sorting by (epoch, order_key) interleaves the sources).
 Defined cases: null source is a source of its own; documents without a word
 (null and empty texts among them) carry no weight and are left out; rows that
 repeat are documents of their own; an empty table gives no row; ties of
-order_key go by doc_id, then tokens; other columns are ignored.
+order_key go by doc_id, then tokens; a very long document is one draw, with all
+its tokens; other columns are ignored.
 """
 
 from __future__ import annotations

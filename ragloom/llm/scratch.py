@@ -2,17 +2,25 @@
 
 ``materialize`` writes a DataFrame as Parquet below ``spark.checkpoint.dir``
 and reads it back: lineage is cut, the files outlive any executor, and every
-later pass reads only the columns it needs.
+later pass reads only the columns it needs. What is written belongs to the
+scope of the running thread; ``begin`` opens a new one and ``release`` deletes
+what is in it, so runs beside or after each other keep their tables.
 """
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[str] = []
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("ragloom-scratch", default=None)
+
+
+def begin() -> None:
+    """A new scope for this thread."""
+    _SCOPE.set([])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/ragloom/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    if _SCOPE.get() is None:
+        begin()
+    _SCOPE.get().append(path)
     return path
 
 
@@ -50,12 +60,13 @@ def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> Data
 
 
 def mark() -> int:
-    return len(_WRITTEN)
+    begin()
+    return 0
 
 
 def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete what ``materialize`` wrote after ``since``; call only when no DataFrame over it is still to run."""
-    jvm = spark.sparkContext._jvm
-    while len(_WRITTEN) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    """Delete what is in this thread's scope; call only when no DataFrame over it is still to run."""
+    jvm, written = spark.sparkContext._jvm, _SCOPE.get() or []
+    while written:
+        path = jvm.org.apache.hadoop.fs.Path(written.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
