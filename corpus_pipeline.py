@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs. All but the last
 return the columns of docs. A stage first deletes the intermediate tables of
-the stage before, whose result is written by then. Null and empty texts,
+the stage before it in this thread, whose result is written by then. Null and empty texts,
 repeated rows, empty tables and further columns are treated as the operators'
 own descriptions say.
 """
@@ -17,37 +17,35 @@ from pyspark.sql import DataFrame, SparkSession
 from ragloom import let_workers_import
 from ragloom.llm import decontaminate, line_dedup, mixing, ngram_join, quality, scratch
 
-_MARK = [0]
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     let_workers_import(spark)
-    _MARK[0] = scratch.mark()
+    scratch.begin()
     return quality.keep_good(docs)
 
 
 def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go, n_chars follows."""
-    scratch.release(spark, _MARK[0])
+    scratch.release(spark)
     return line_dedup.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    scratch.release(spark, _MARK[0])
+    scratch.release(spark)
     return ngram_join.keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    scratch.release(spark, _MARK[0])
+    scratch.release(spark)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The order in which documents are drawn, source by source to its budget."""
-    scratch.release(spark, _MARK[0])
+    scratch.release(spark)
     return mixing.mix(docs)
 
 

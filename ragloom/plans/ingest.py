@@ -97,19 +97,29 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", F.size("s").alias("sentences"), F.md5(F.array_join("s", "|").cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"""WITH {_SQL_SENTENCES}, p AS (SELECT doc_id, list_reduce(list_transform(s, lambda x: {{'done': []::VARCHAR[], 'open': x}}), lambda a, x: CASE WHEN length(a.open) + 1 + length(x.open) <= 200
+        THEN {{'done': a.done, 'open': a.open || ' ' || x.open}} ELSE {{'done': list_append(a.done, a.open), 'open': x.open}} END) AS r FROM s WHERE len(s) > 0),
+    u AS (SELECT doc_id, unnest(list_append(r.done, r.open)) AS text, unnest(range(0, len(r.done) + 1)) AS position FROM p)
+    SELECT doc_id, position::INT AS position, length(text)::INT AS chars, md5(text) AS digest FROM u""")
 def chunk_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against a plain loop in the tests."""
     c = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.packed(T.sentences(F.col("text")))).alias("position", "text"))
     return c.select("doc_id", "position", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
+@query(rf"""WITH {_SQL_SENTENCES}, e AS (SELECT doc_id, unnest(s) AS s, unnest(range(0, len(s))) AS i FROM s),
+    t AS (SELECT doc_id, i, unnest(regexp_extract_all(lower(s), '[\p{{L}}\p{{M}}\p{{N}}]+')) AS w FROM e),
+    n AS (SELECT doc_id, i, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS slot, count(*)::DOUBLE AS c FROM t GROUP BY ALL),
+    l AS (SELECT doc_id, i, sqrt(sum(c * c)) AS l FROM n GROUP BY doc_id, i),
+    d AS (SELECT b.doc_id, b.i, sum(a.c * b.c) AS d FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.i = b.i - 1 AND a.slot = b.slot GROUP BY b.doc_id, b.i),
+    near AS (SELECT d.doc_id, d.i FROM d JOIN l x ON x.doc_id = d.doc_id AND x.i = d.i JOIN l y ON y.doc_id = d.doc_id AND y.i = d.i - 1 WHERE round(d / (x.l * y.l), 9) >= 0.3),
+    g AS (SELECT e.doc_id, e.i, s, sum((near.i IS NULL)::INT) OVER (PARTITION BY e.doc_id ORDER BY e.i) - 1 AS position FROM e LEFT JOIN near ON near.doc_id = e.doc_id AND near.i = e.i),
+    j AS (SELECT doc_id, position, string_agg(s, ' ' ORDER BY i) AS text FROM g GROUP BY doc_id, position)
+    SELECT doc_id, position::INT AS position, length(text)::INT AS chars, md5(text) AS digest FROM j""")
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring sentences whose hashed vectors have a cosine under 0.3 part. Held against a plain loop in the tests."""
+    """Neighbouring sentences whose hashed vectors have a cosine under 0.3 part."""
     vec = lambda s: T.hash_embed(s)
     parts = _docs(spark, sf_dir).select("doc_id", F.transform(T.sentences(F.col("text")), lambda s: F.struct(s.alias("s"), vec(s).alias("v"))).alias("p"))
-    near = lambda p, i: vectors.dot(F.get(p, i)["v"], F.get(p, i - 1)["v"]) >= 0.3
+    near = lambda p, i: F.round(vectors.dot(F.get(p, i)["v"], F.get(p, i - 1)["v"]), 9) >= 0.3
     marked = parts.select("doc_id", F.transform(F.array("p"), lambda p: F.transform(p, lambda x, i: F.struct(x["s"].alias("s"), F.when((i > 0) & near(p, i), 0).otherwise(1).alias("b"))))[0].alias("m"))
     done = F.struct(F.array().cast("array<string>").alias("out"))
     joined = F.aggregate(
