@@ -59,12 +59,7 @@ def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    begin()
-    return 0
-
-
-def release(spark: SparkSession, since: int = 0) -> None:
+def release(spark: SparkSession) -> None:
     """Delete what is in this thread's scope; call only when no DataFrame over it is still to run."""
     jvm, written = spark.sparkContext._jvm, _SCOPE.get() or []
     while written:
