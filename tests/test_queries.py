@@ -17,7 +17,7 @@ def test_every_query_of_the_core_has_sql():
 
 def test_entry_gives_one_row_per_query(spark, duck):
     """Queries are the rows whose id is divisible by 100; entry reads the smallest tables."""
-    want = duck.sql("SELECT count(*) FROM '/root/testdata/sf0.001/embeddings.parquet' WHERE vec_id % 100 = 0").fetchone()[0]
+    want = duck.sql("SELECT count(*) FROM '/root/testdata/sf0.001/embeddings.parquet' WHERE vec_id % 100 = 0").fetchall()[0][0]
     assert entry.entry(spark).count() == want > 1
 
 
