@@ -53,6 +53,8 @@ MIN_ITEM = 8
 ITEM_BLOCK = 20_000
 #: Words taken through the dense steps at once, and products of windows and items held at once.
 PIECE_WORDS, PRODUCTS = 1 << 16, 1 << 22
+#: Size of the table that tells quickly which words no item has.
+SIEVE = 1 << 22
 OUT = "doc_id long, item_id long, cosine double, lcs double, answer double, kind string"
 FOUND = OUT.replace(" long", " string")
 
@@ -224,6 +226,8 @@ class _Bags:
         each = [np.unique(i, return_counts=True) for i in item_ids]
         self.keys = np.concatenate([t * (m + 1) + i.astype(np.int64) for t, (i, _) in enumerate(each)])  # ascending
         self.times = np.concatenate([k for _, k in each])
+        self.sieve = np.zeros(SIEVE, bool)
+        self.sieve[self.keys % SIEVE] = True
 
     def enough(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, t: np.ndarray, least: np.ndarray) -> np.ndarray:
         """Which of the regions lo..hi have ``least`` words in common with item t at least."""
@@ -233,9 +237,12 @@ class _Bags:
             size, need = (hi - lo)[a : a + step], least[a : a + step]
             of = np.repeat(np.arange(len(size)), size)
             want = t[a : a + step][of] * (self.m + 1) + ids[lo[a : a + step][of] + counts_of(size)]
+            may = np.flatnonzero(self.sieve[want % SIEVE])
+            of, want = of[may], want[may]
+            may = np.flatnonzero((np.bincount(of, minlength=len(size)) >= need)[of])  # with words as often as they come
+            of, want = of[may], want[may]
             at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
             hit = self.keys[at] == want
-            hit &= (np.bincount(of, weights=hit, minlength=len(size)) >= need)[of]  # with words as often as they come
             both, count = np.unique(of[hit] * len(self.keys) + at[hit], return_counts=True)
             out[a : a + step] = np.bincount(both // len(self.keys), weights=np.minimum(count, self.times[both % len(self.keys)]), minlength=len(size)) >= need
         return out
