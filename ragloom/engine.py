@@ -38,6 +38,7 @@ class Settings:
     max_audio_mb: float = MAX_AUDIO_MB
     max_frame_bytes: int = 0
     max_audio_ms: int = 0
+    provider_attempts: int = providers.ATTEMPTS
     production: bool = False
 
     @staticmethod
@@ -48,10 +49,15 @@ class Settings:
         return Settings(**{k: v.lower() in ("1", "true", "yes") if kinds[k] is bool else kinds[k](v) for k, v in given.items()})
 
 
-#: Chunkers by name: text and settings to an array of (start, text).
+def _numbered(parts: Column) -> Column:
+    return F.transform(parts, lambda x, i: F.struct(i.alias("start"), x.alias("text")))
+
+
+#: Chunkers by name: text and settings to an array of (start, text); start is the place in the text, or among the chunks.
 CHUNKERS: dict[str, Callable[[Column, Settings], Column]] = {
     "fixed": lambda text, s: T.fixed_chunks(text, s.chunk, s.overlap),
-    "sentence": lambda text, s: F.transform(T.packed(T.sentences(text), s.chunk), lambda x, i: F.struct(i.alias("start"), x.alias("text"))),
+    "sentence": lambda text, s: _numbered(T.packed(T.sentences(text), s.chunk)),
+    "semantic": lambda text, s: _numbered(T.semantic(T.sentences(text), dim=s.dim)),
 }
 
 
@@ -135,7 +141,7 @@ class Engine:
         """Answers of the remote engine; a request that fails there has the error's code."""
         output = {"answer": "string", "grounded": "boolean", "sources_json": "string", "latency_json": "string"}
         valid = checked.where("error_code IS NULL").drop("error_code")
-        got = providers.apply(valid, self.remote, output, kind="RAG")
+        got = providers.apply(valid, self.remote, output, kind="RAG", attempts=self.settings.provider_attempts)
         said = F.from_json("latency_json", ", ".join(f"{x} double" for x in LATENCY))
         latency = F.struct(*(F.coalesce(said[x], F.col("elapsed_ms")).alias(x) if x == "total_ms" else said[x].alias(x) for x in LATENCY))
         done = self._shaped(got, F.col("error_code"), F.col("answer"), F.col("grounded"), F.from_json("sources_json", SOURCES), latency)
@@ -154,7 +160,7 @@ class Engine:
     def transcribe(self, uploads: DataFrame) -> DataFrame:
         """uploads (request_id, audio, language): transcript rows with error_code where guard or provider failed."""
         guarded = uploads.withColumn("fault", audio.guard(F.col("audio")))
-        heard = providers.apply(guarded.where("fault IS NULL"), self.stt, {"transcript": "string", "language_code": "string", "confidence": "double"})
+        heard = providers.apply(guarded.where("fault IS NULL"), self.stt, {"transcript": "string", "language_code": "string", "confidence": "double"}, attempts=self.settings.provider_attempts)
         locale = locales.resolve_exact(F.col("language_code"), F.col("language"), strict=True)
         fine = heard.select("request_id", F.col("transcript").alias("text"), F.when(F.col("error_code").isNull(), locale).alias("language"), "confidence", F.coalesce("error_code", F.when(locale.isNull(), "UNSUPPORTED_LANGUAGE")).alias("error_code"))
         null = lambda kind: F.lit(None).cast(kind)

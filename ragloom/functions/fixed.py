@@ -36,4 +36,4 @@ DEFAULT_LOCALE = "en-IN"
 MAX_AUDIO_MB = 25.0
 DEFAULT_TOP_K, MOST_TOP_K, FETCH_K = 5, 20, 20
 MAX_QUERY_CHARS = 2000
-SLO_MS = 200.0
+SLO_MS, PROVIDER_MS = 200.0, 150.0

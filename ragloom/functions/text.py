@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ragloom.functions import vectors
+
 SENTENCE = r"[^.!?।]+[.!?।]*"
 TOKEN = r"[\p{L}\p{M}\p{N}]+"
 
@@ -62,6 +64,15 @@ def packed(parts: Column, size: int = 200) -> Column:
     return F.aggregate(parts, done, add, lambda acc: F.when(acc["open"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["open"]))))
 
 
+def semantic(parts: Column, least: float = 0.3, dim: int = 64) -> Column:
+    """Sentences joined by spaces as long as neighbours' hashed vectors have a cosine (9 digits) of ``least`` or more."""
+    both = F.transform(parts, lambda s: F.struct(s.alias("s"), hash_embed(s, dim).alias("v")))
+    near = lambda p, i: F.round(vectors.dot(F.get(p, i)["v"], F.get(p, i - 1)["v"]), 9) >= least
+    first = F.transform(F.array(both), lambda p: F.filter(F.transform(p, lambda x, i: F.when((i == 0) | ~near(p, i), i)), lambda i: i.isNotNull()))[0]
+    slices = lambda at: F.transform(at, lambda a, k: F.array_join(F.slice(parts, a + 1, F.coalesce(F.get(at, k + 1), F.size(parts)) - a), " "))
+    return F.transform(F.array(first), slices)[0]
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
-from ragloom.functions import vectors
 from ragloom.operators import answers, index, ingest, metrics
 from ragloom.plans.fixtures import SQL_QUERIES, queries, table
 from ragloom.plans.registry import query
@@ -117,16 +116,8 @@ def chunk_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, position::INT AS position, length(text)::INT AS chars, md5(text) AS digest FROM j""")
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring sentences whose hashed vectors have a cosine under 0.3 part."""
-    vec = lambda s: T.hash_embed(s)
-    parts = _docs(spark, sf_dir).select("doc_id", F.transform(T.sentences(F.col("text")), lambda s: F.struct(s.alias("s"), vec(s).alias("v"))).alias("p"))
-    near = lambda p, i: F.round(vectors.dot(F.get(p, i)["v"], F.get(p, i - 1)["v"]), 9) >= 0.3
-    marked = parts.select("doc_id", F.transform(F.array("p"), lambda p: F.transform(p, lambda x, i: F.struct(x["s"].alias("s"), F.when((i > 0) & near(p, i), 0).otherwise(1).alias("b"))))[0].alias("m"))
-    done = F.struct(F.array().cast("array<string>").alias("out"))
-    joined = F.aggregate(
-        "m", done, lambda a, x: F.when((x["b"] == 1) | (F.size(a["out"]) == 0), F.struct(F.concat(a["out"], F.array(x["s"])).alias("out")))
-        .otherwise(F.struct(F.concat(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), F.array(F.concat_ws(" ", F.element_at(a["out"], -1), x["s"]))).alias("out"))), lambda a: a["out"],
-    )
-    c = marked.select("doc_id", F.posexplode(joined).alias("position", "text"))
+    sentences = _docs(spark, sf_dir).select("doc_id", T.sentences(F.col("text")).alias("s"))
+    c = sentences.select("doc_id", F.posexplode(T.semantic(F.col("s"))).alias("position", "text"))
     return c.select("doc_id", "position", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

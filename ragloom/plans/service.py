@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ragloom.functions import contracts as rules
-from ragloom.functions.fixed import COMPLETIONS, ERRORS, SLO_MS, STAGES
+from ragloom.functions.fixed import COMPLETIONS, ERRORS, PROVIDER_MS, SLO_MS, STAGES
 from ragloom.operators import answers, metrics, sessions
 from ragloom.plans.fixtures import SQL_LATENCIES, SQL_MESSAGES, latencies, messages, pick, table
 from ragloom.plans.registry import query
@@ -128,6 +128,13 @@ def slo_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("event_type").agg(F.max("total_ms").alias("p100"), (F.max("total_ms") < SLO_MS).alias("met"), F.count(F.when(F.col("total_ms") >= SLO_MS, 1)).alias("over"))
 
 
+@query(f"WITH {SQL_LATENCIES} SELECT event_type, count(*) AS requests, count(*) FILTER (total_ms >= {SLO_MS}) AS late, count(*) FILTER (generation_ms > {PROVIDER_MS}) AS provider_late FROM lat GROUP BY event_type")
+def deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests and provider calls beyond their deadlines, as measured: rows of a batch are not cut off."""
+    late = lambda bad: F.count(F.when(bad, 1))
+    return latencies(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("requests"), late(F.col("total_ms") >= SLO_MS).alias("late"), late(F.col("generation_ms") > PROVIDER_MS).alias("provider_late"))
+
+
 _STAGE_MS = ["embedding_ms", "retrieval_ms", "reranking_ms", "generation_ms"]
 
 

@@ -157,6 +157,8 @@ def test_parts_and_readiness(spark, tmp_path):
     assert not Engine(spark, points.limit(1), settings, stt=stt, parts=parts, expected=2).status().first()["ready"]
     with pytest.raises(ValueError):
         Engine(spark, points, settings, stt=stt)  # the default parts are fixtures
+    near = spark.createDataFrame([(1, "s", "red fox runs. red fox sleeps. blue whales swim."), (2, "s", "")], "doc_id long, source string, text string")
+    assert sorted(r["text"] for r in Engine.index(near, settings, parts=Parts(chunk=CHUNKERS["semantic"])).collect()) == ["blue whales swim.", "red fox runs. red fox sleeps."]
 
 
 def test_percentiles_equal_numpy(spark):
