@@ -27,6 +27,8 @@ def mean(scores: DataFrame, *by: str) -> DataFrame:
 
 #: Cells between a group's least and greatest value by which its percentiles are sought.
 CELLS = 4096
+#: Groups whose ends and wanted cells (two rows a share and group at most) are broadcast; beyond, they are joined.
+BROADCAST_GROUPS = 50_000
 
 
 def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float], digits: int = 6) -> DataFrame:
@@ -35,15 +37,17 @@ def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, fl
     wanted rank are counted one by one, so no group's values are in one task. Nulls are not counted."""
     given = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     ends = given.groupBy(*by).agg(F.count("*").alias("requests"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    few = ends.count() <= BROADCAST_GROUPS
+    beside = lambda rows, groups, keys: rows.join(F.broadcast(groups) if few else groups, keys)
     width = F.col("_most") - F.col("_least")
     cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_least")) / width * CELLS), F.lit(CELLS - 1))).otherwise(0).cast("int")
-    placed = _beside(given, ends, by).select(*by, "_v", "requests", cell.alias("_cell"))
+    placed = beside(given, ends, by).select(*by, "_v", "requests", cell.alias("_cell"))
     at = {name: (F.col("requests") - 1) * F.lit(share) for name, share in shares.items()}
     ranks = F.array(*(f(x).cast("long") for x in at.values() for f in (F.floor, F.ceil)))
     running = W.partitionBy(*by).orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
     cells = placed.groupBy(*by, "requests", "_cell").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(running))
     wanted = cells.where(F.exists(ranks, lambda r: (r >= F.col("_upto") - F.col("_n")) & (r < F.col("_upto")))).select(*by, "_cell", (F.col("_upto") - F.col("_n")).alias("_before"))
-    inside = _beside(placed, wanted, [*by, "_cell"]).groupBy(*by, "requests", "_cell", "_before", "_v").agg(F.count("*").alias("_n"))
+    inside = beside(placed, wanted, [*by, "_cell"]).groupBy(*by, "requests", "_cell", "_before", "_v").agg(F.count("*").alias("_n"))
     order = W.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     ranked = inside.withColumn("_upto", F.col("_before") + F.sum("_n").over(order))
     value_at = lambda r: F.max(F.when((r >= F.col("_upto") - F.col("_n")) & (r < F.col("_upto")), F.col("_v")))
@@ -53,11 +57,6 @@ def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, fl
     return ends.join(done, by)
 
 
-def _beside(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
-    """rows with the row of their group; groups are few here (a row a group, or a row a wanted cell), so they are broadcast."""
-    return rows.join(F.broadcast(groups), by)
-
-
 def prf(predicted: Column, truth: Column) -> list[Column]:
     tp, fp, fn = (F.count(F.when(c, 1)) for c in (predicted & truth, predicted & ~truth, ~predicted & truth))
     p, r = F.try_divide(tp, tp + fp), F.try_divide(tp, tp + fn)

@@ -161,9 +161,28 @@ def test_parts_and_readiness(spark, tmp_path):
     assert sorted(r["text"] for r in Engine.index(near, settings, parts=Parts(chunk=CHUNKERS["semantic"])).collect()) == ["blue whales swim.", "red fox runs. red fox sleeps."]
 
 
-def test_percentiles_equal_numpy(spark):
+def test_hydration_shuffles_no_payload_but_the_hits(spark):
+    from ragloom.operators import retrieval
+
+    hits = spark.createDataFrame([(1, 5, 0.5, 1), (1, 99, 0.4, 2)], "query_id long, item_id long, score double, rank int")
+    payload = spark.range(50).select(F.col("id").alias("item_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    for most in (None, 2, 10**9):
+        assert sorted((r["item_id"], r["text"]) for r in retrieval.hydrate(hits, payload, most).collect()) == [(5, "text 5"), (99, None)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = retrieval.hydrate(hits, payload, 2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [item_id" in plan.split("Range (0, 50")[0]  # between the payload's scan and its shuffle
+
+
+@pytest.mark.parametrize("groups", [0, 50_000])
+def test_percentiles_equal_numpy(spark, groups, monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(metrics, "BROADCAST_GROUPS", groups)
+
     rng = np.random.default_rng(0)
     rows = [("a", float(x)) for x in rng.exponential(9, 5000)] + [("b", 3.0)] * 7 + [("c", float(x)) for x in (1, 2)] + [("a", None)]
     df = spark.createDataFrame(rows, "k string, v double")
