@@ -49,8 +49,8 @@ from ragloom.llm.words import NOT_ALNUM, counts_of, lcs_bits, mix, pieces
 PASSAGE, STRIDE, RANK, OVERSAMPLE, LONG = 32, 16, 80, 16, 64
 COSINE, LCS, PARAPHRASE, ANSWER = 0.4, 0.75, 0.55, 0.8
 MIN_ITEM = 8
-#: Items that are searched in one pass over the documents.
-ITEM_BLOCK = 20_000
+#: Items that are searched in one pass over the documents, and characters of all items, which the driver and each task hold.
+ITEM_BLOCK, BENCHMARK_CHARS = 20_000, 200_000_000
 #: Words taken through the dense steps at once, and products of windows and items held at once.
 PIECE_WORDS, PRODUCTS = 1 << 16, 1 << 22
 #: Size of the table that tells quickly which words no item has.
@@ -325,8 +325,11 @@ def _random(n: int, k: int) -> np.ndarray:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK) -> DataFrame:
-    """docs (doc_id, text) against benchmark (item_id, text), whose items the driver and each task hold."""
+    """docs (doc_id, text) against benchmark (item_id, text), of ``BENCHMARK_CHARS`` at most: a larger one is refused, to be
+    searched in parts."""
     spark = docs.sparkSession
+    if (chars := benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) > BENCHMARK_CHARS:
+        raise ValueError(f"a benchmark of {chars} characters; search it in parts of {BENCHMARK_CHARS}")
     items = Items([(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("string"), "text").collect()])
     if not len(items):
         return spark.createDataFrame([], OUT)
