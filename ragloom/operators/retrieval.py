@@ -1,14 +1,16 @@
 """Exact vector search, floors, two-stage ranking and reranking.
 
-Search scans the corpus once: a task scores its Arrow batches against the
-queries with one matrix product and passes on only the rows that can be among
-the k best, so the shuffle carries k rows per query and batch at most. Queries
-travel with the tasks; they are taken in blocks of ``QUERY_BLOCK``, so what is
-sent never depends on how many there are.
+Search scans the corpus once for a block of queries: a task scores its rows
+against the block by matrix products and keeps each query's k best, so the
+shuffle carries k rows per query and task, whatever the task's size and however
+many rows tie. Queries travel with the tasks in blocks of ``QUERY_BLOCK``; after
+``ROUND`` blocks the hits are checkpointed, so neither the plan nor the driver
+holds more queries than that.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,13 +21,13 @@ from pyspark.sql import Window as W
 
 from ragloom.functions import vectors
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK, ROUND = 4096, 16
 #: Scores a task holds at once (8 bytes each).
 SCORES = 1 << 21
 #: Hits whose ids are sent to every executor, so that only their payload moves.
 BROADCAST_HITS = 500_000
-#: Scores are compared after rounding to 6 digits; so much more than the k-th must be kept before.
-SLACK = 2e-6
+#: Digits of a score; rounded ones are compared, so that copies tie.
+DIGITS = 6
 
 
 def _unit(vectors: list) -> np.ndarray:
@@ -34,29 +36,56 @@ def _unit(vectors: list) -> np.ndarray:
     return np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0)
 
 
+def _first(q: np.ndarray, item: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query its k best, by score descending, then id; in order of query and rank."""
+    by = np.lexsort((item, -score, q))
+    q, item, score = q[by], item[by], score[by]
+    starts = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    return q[rank < k], item[rank < k], score[rank < k]
+
+
 def _best(batches: Iterable[pd.DataFrame], ids: np.ndarray, unit: np.ndarray, k: int, floor: float | None) -> Iterator[pd.DataFrame]:
-    rows = max(k + 1, SCORES // len(ids))
+    """The k best rows of a task for each query. What is held is 2 k rows a query and ``SCORES`` at most,
+    however many rows tie."""
+    rows = max(1, SCORES // len(ids))
+    q, item, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    least, least_id = np.full(len(ids), -np.inf if floor is None else floor), np.full(len(ids), np.iinfo(np.int64).max)
+    wait, held = [], 0
+
+    def settle() -> None:
+        nonlocal q, item, score, held
+        q, item, score = _first(*(np.concatenate(x) for x in zip((q, item, score), *wait, strict=True)), k)
+        wait.clear()
+        held = 0
+        last = np.flatnonzero(np.append(q[1:] != q[:-1], True)) if len(q) else np.zeros(0, np.int64)
+        full = last[np.diff(np.append(-1, last)) == k]
+        least[q[full]], least_id[q[full]] = score[full], item[full]
+
     for whole in batches:
+        every = whole["id"].to_numpy(np.int64)
         for a in range(0, len(whole), rows):
-            b = whole.iloc[a : a + rows]
-            m = _unit(b["vector"].tolist())
-            scores = unit @ m.T
-            least = np.full(len(ids), -np.inf) if scores.shape[1] <= k else np.partition(scores, -k, axis=1)[:, -k] - SLACK
-            if floor is not None:
-                least = np.maximum(least, floor - SLACK)
-            q, c = np.nonzero(scores >= least[:, None])
-            yield pd.DataFrame({"query_id": ids[q], "item_id": b["id"].to_numpy()[c], "score": scores[q, c]})
+            b, b_ids = whole["vector"].iloc[a : a + rows], every[a : a + rows]
+            scores = np.round(unit @ _unit(b.tolist()).T, DIGITS) + 0.0  # no -0.0
+            at, c = np.nonzero((scores > least[:, None]) | ((scores == least[:, None]) & (b_ids < least_id[:, None])))
+            wait.append((at, b_ids[c], scores[at, c]))
+            held += len(at)
+            if held > k * len(ids):
+                settle()
+    if wait:
+        settle()
+    yield pd.DataFrame({"query_id": ids[q], "item_id": item, "score": score})
 
 
 def scored(queries: DataFrame, corpus: DataFrame, k: int, floor: float | None = None) -> DataFrame:
-    """queries (query_id, vector), corpus (id, vector): query_id, item_id, score of all that can be among the k best.
+    """queries (query_id, vector), corpus (id, vector): query_id, item_id, score (``DIGITS``), each task's k best.
 
     Vectors that are null, have a value that is null or not finite, or another dimension than the queries take no part."""
     spark = queries.sparkSession
     sound = lambda df, key: df.select(F.col(key).cast("long").alias(key), "vector").where(F.col(key).isNotNull() & (F.size("vector") > 0) & F.forall("vector", vectors.finite))
     queries, found = sound(queries, "query_id"), sound(corpus, "id")
     sizes = [(r[0], r[1]) for r in queries.groupBy(F.size("vector")).count().collect()]  # a row for each dimension there is
-    out = None
+    done, out, taken = [], None, 0
     for dim, count in sizes:
         same, blocks = queries.where(F.size("vector") == dim), -(-count // QUERY_BLOCK)
         for i in range(blocks):
@@ -65,8 +94,12 @@ def scored(queries: DataFrame, corpus: DataFrame, k: int, floor: float | None =
                 continue
             ids, unit = np.array([r[0] for r in rows], np.int64), _unit([r[1] for r in rows])
             part = found.where(F.size("vector") == dim).mapInPandas(lambda b, ids=ids, unit=unit: _best(b, ids, unit, k, floor), "query_id long, item_id long, score double")
-            out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "query_id long, item_id long, score double")
+            out, taken = part if out is None else out.unionByName(part), taken + 1
+            if taken % ROUND == 0 and spark.sparkContext.getCheckpointDir():
+                done, out = [*done, out.checkpoint()], None
+    if out is not None:
+        done.append(out)
+    return functools.reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], "query_id long, item_id long, score double")
 
 
 def ranked(scores: DataFrame, k: int, by: str = "score", per: str = "query_id", tie: str = "item_id", name: str = "rank") -> DataFrame:
@@ -77,8 +110,7 @@ def ranked(scores: DataFrame, k: int, by: str = "score", per: str = "query_id",
 
 def topk(queries: DataFrame, corpus: DataFrame, k: int = 5, floor: float | None = None) -> DataFrame:
     """query_id, item_id, score (6 digits), rank. Filters on the corpus belong before the call."""
-    best = scored(queries, corpus, k, floor).withColumn("score", F.round("score", 6))
-    return ranked(best if floor is None else best.where(F.col("score") >= floor), k)
+    return ranked(scored(queries, corpus, k, floor), k)
 
 
 def above_floor(hits: DataFrame, floor: float) -> DataFrame:

@@ -1,6 +1,7 @@
 """Retrieval, index, providers, files, streams."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,8 @@ def test_topk_against_numpy_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(0)
     q, c = rng.standard_normal((7, 8)), rng.standard_normal((300, 8))
     c[5] = 0
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "ROUND", 2)
     got = retrieval.topk(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, vector array<double>"), spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)] + [(900, None), (901, [1.0])], "id long, vector array<double>"), 5).collect()
     s = np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ np.divide(c, np.linalg.norm(c, axis=1)[:, None], where=np.linalg.norm(c, axis=1)[:, None] > 0, out=np.zeros_like(c)).T, 6)
     want = {(i, int(j), r + 1) for i in range(7) for r, j in enumerate(sorted(range(300), key=lambda j: (-s[i, j], j))[:5])}
@@ -26,6 +28,23 @@ def test_ties_go_to_the_smaller_id_and_empty_inputs(spark):
     assert retrieval.topk(q.where("query_id > 5"), same, 2).count() == retrieval.topk(q, same.where("id > 99"), 2).count() == 0
 
 
+@pytest.mark.parametrize("floor", [None, 0.25])
+def test_a_task_keeps_k_rows_a_query_however_many_tie(monkeypatch, floor):
+    rng = np.random.default_rng(1)
+    c = rng.standard_normal((400, 4))
+    c[rng.random(400) < 0.5] = c[7]  # half are copies
+    q, ids = c[[7, 8, 9]], rng.permutation(400)
+    unit = retrieval._unit(list(q))
+    batches = [pd.DataFrame({"id": ids[a : a + 90], "vector": list(c[a : a + 90])}) for a in range(0, 400, 90)]
+    monkeypatch.setattr(retrieval, "SCORES", 24)
+    (got,) = retrieval._best(iter(batches), np.array([5, 6, 7]), unit, 6, floor)
+    s = np.round(unit @ retrieval._unit(list(c)).T, 6)
+    want = [(5 + i, int(ids[j]), s[i, j]) for i in range(3) for j in sorted(range(400), key=lambda j: (-s[i, j], ids[j]))[:6] if floor is None or s[i, j] >= floor]
+    assert list(got.itertuples(index=False, name=None)) == want
+    (none,) = retrieval._best(iter([]), np.array([5]), unit[:1], 6, floor)
+    assert len(none) == 0
+
+
 def test_reranking_permutes(spark):
     hits = spark.createDataFrame([(0, i, i / 10, 10 - i) for i in range(10)], "query_id long, item_id long, score double, rank int")
     out = retrieval.rerank(hits, -F.col("score"), 10)
