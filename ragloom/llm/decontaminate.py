@@ -49,8 +49,11 @@ from ragloom.llm.words import NOT_ALNUM, counts_of, lcs_bits, mix, pieces
 PASSAGE, STRIDE, RANK, OVERSAMPLE, LONG = 32, 16, 80, 16, 64
 COSINE, LCS, PARAPHRASE, ANSWER = 0.4, 0.75, 0.55, 0.8
 MIN_ITEM = 8
-#: Items that are searched in one pass over the documents, and characters of all items, which the driver and each task hold.
-ITEM_BLOCK, BENCHMARK_CHARS = 20_000, 200_000_000
+#: Items that are searched in one pass over the documents.
+ITEM_BLOCK = 20_000
+#: Characters of all items, which the driver and each task hold, and different words of them: a task's part of the
+#: sketch has 8 (RANK + OVERSAMPLE) bytes a word, 184 MB at most, and so has the driver's sum.
+BENCHMARK_CHARS, BENCHMARK_WORDS = 50_000_000, 240_000
 #: Words taken through the dense steps at once, and products of windows and items held at once.
 PIECE_WORDS, PRODUCTS = 1 << 16, 1 << 22
 #: Size of the table that tells quickly which words no item has.
@@ -325,8 +328,8 @@ def _random(n: int, k: int) -> np.ndarray:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK) -> DataFrame:
-    """docs (doc_id, text) against benchmark (item_id, text), of ``BENCHMARK_CHARS`` at most: a larger one is refused, to be
-    searched in parts."""
+    """docs (doc_id, text) against benchmark (item_id, text), of ``BENCHMARK_CHARS`` and ``BENCHMARK_WORDS`` at most: a larger
+    one is refused, to be searched in parts."""
     spark = docs.sparkSession
     if (chars := benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) > BENCHMARK_CHARS:
         raise ValueError(f"a benchmark of {chars} characters; search it in parts of {BENCHMARK_CHARS}")
@@ -334,11 +337,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: i
     if not len(items):
         return spark.createDataFrame([], OUT)
     vocabulary, m = items.vocabulary, len(items.vocabulary)
+    if m > BENCHMARK_WORDS:
+        raise ValueError(f"a benchmark of {m} different words; search it in parts of {BENCHMARK_WORDS}")
     lists = materialize(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(lambda b: encode(b, vocabulary), "doc_id string, n long, ids binary"), "decontaminate-words", batch_rows=1000)
 
     df = np.zeros(m + 1)
-    for at, k in lists.mapInPandas(lambda b: _frequencies(b, m), "at long, df long").groupBy("at").agg(F.sum("df")).collect():  # a row per word of the items
-        df[at] = k
+    seen = lists.mapInPandas(lambda b: _frequencies(b, m), "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).toArrow()  # a row per word of the items
+    df[seen["at"].to_numpy()] = seen["df"].to_numpy()
     idf = np.log((df[m] + 1) / (df[:m] + 1)) + 1
 
     columns = min(rank + OVERSAMPLE, m)
@@ -346,8 +351,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: i
     weighted = (omega * idf[:, None]).astype(np.float32)
     parts = lists.mapInPandas(lambda b: _range(b, weighted), "at long, z array<double>")
     y = np.zeros((m, columns))
-    for at, *z in parts.groupBy("at").agg(*(F.sum(F.col("z")[j]).alias(f"z{j}") for j in range(columns))).collect():  # vocabulary x columns
-        y[at] = z
+    sums = parts.groupBy("at").agg(*(F.sum(F.col("z")[j]).alias(f"z{j}") for j in range(columns))).toArrow()  # vocabulary x columns
+    at = sums["at"].to_numpy()
+    for j in range(columns):
+        y[at, j] = sums[f"z{j}"].to_numpy()
     places = latent(omega, y * idf[:, None], rank) * idf[:, None].astype(np.float32)
     found = None
     for a in range(0, len(items), ITEM_BLOCK):

@@ -154,10 +154,11 @@ def test_item_blocks_and_empty_tables(spark, monkeypatch):
     text, items = _bench(rng)
     df = spark.createDataFrame([(k, text(50) + " " + t + " " + text(50)) for k, t in items], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontaminate, "BENCHMARK_CHARS", 100)
-    with pytest.raises(ValueError):
-        decontaminate.leaks(df, bench)
-    monkeypatch.undo()
+    for bound in ("BENCHMARK_CHARS", "BENCHMARK_WORDS"):
+        monkeypatch.setattr(decontaminate, bound, 100)
+        with pytest.raises(ValueError):
+            decontaminate.leaks(df, bench)
+        monkeypatch.undo()
     monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 7)
     assert {(r[0], r[1]) for r in decontaminate.leaks(df, bench).collect()} == {(k, k) for k, _ in items}
     assert decontaminate.leaks(df.where("doc_id < 0"), bench).count() == 0
